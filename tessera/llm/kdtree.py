@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import has_columns, materialize
 
 LEAF, SHARD, BLOCK = 256, 8192, 1024
-LOWEST = np.iinfo(np.int64).min
+LOWEST = np.iinfo(np.int64).min + 1  # can be negated
 
 
 class Tree:
