@@ -6,12 +6,13 @@ of tokens. Second pass: the string is cut into windows of LENGTH tokens; a docum
 piece on either side. What is left at the end is cut at powers of two, so no sequence is padded.
 
 A word is tokenised once (the vocabulary's pre-tokeniser splits at white space, so no token crosses it) and its ids
-are reused; a worker keeps at most CACHE_WORDS words. Null or empty text: the end token only. Repeated rows and null
+are reused; a worker keeps about CACHE_WORDS words, twice at most. Null or empty text: the end token only. Repeated rows and null
 ids: packed like any other. Empty table: no rows. Columns beyond id and text are ignored.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -22,38 +23,49 @@ from pyspark.sql import functions as F
 
 from .common import arrow_type, decode, has_columns, materialize, text_rows
 
-LENGTH, END, CACHE_WORDS = 2048, 1, 300_000
+LENGTH, END, CACHE_WORDS = 2048, 1, 400_000
 
 OUT = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _caches: dict[str, "Ids"] = {}
 
 
-class Ids(dict):
-    """word -> its token ids as little-endian uint32 bytes."""
+class Ids:
+    """word -> its token ids as little-endian uint32 bytes; words that were not met since the table was last full go."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        out = self[word] = np.array(self.tokenizer.encode(decode(word), add_special_tokens=False).ids, "<u4").tobytes()
-        return out
+        self.now: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+
+    def of(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """A table that holds all of these words."""
+        if len(self.now) >= CACHE_WORDS:
+            self.now, self.before = {}, self.now
+        new = []
+        for w in words - self.now.keys():
+            if (ids := self.before.get(w)) is None:
+                new.append(w)
+            else:
+                self.now[w] = ids
+        for w, e in zip(new, self.tokenizer.encode_batch([decode(w) for w in new], add_special_tokens=False), strict=True):
+            self.now[w] = np.array(e.ids, "<u4").tobytes()
+        return self.now
 
 
 def word_ids(path: str) -> Ids:
     if path not in _caches:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         _caches[path] = Ids(path)
     return _caches[path]
 
 
-def encode(raw: bytes, path: str) -> bytes:
-    """The text's ids and the end token, as little-endian uint32."""
-    ids = word_ids(path)
-    return b"".join(map(ids.__getitem__, raw.split())) + END.to_bytes(4, "little")
+def encode(texts: list[bytes], path: str) -> list[bytes]:
+    """Each text's ids and the end token, as little-endian uint32."""
+    words = [raw.split() for raw in texts]
+    ids = word_ids(path).of(set().union(*words))
+    return [b"".join(map(ids.__getitem__, w)) + END.to_bytes(4, "little") for w in words]
 
 
 def tokens(docs: DataFrame, doc_id: str, text: str, path: str) -> DataFrame:
@@ -66,7 +78,7 @@ def tokens(docs: DataFrame, doc_id: str, text: str, path: str) -> DataFrame:
 
         pid, at = TaskContext.get().partitionId(), 0
         for part, texts in text_rows(batches):
-            ids = [encode(raw, path) for raw in texts]
+            ids = encode(texts, path)
             n = [len(x) // 4 for x in ids]
             ends = np.cumsum([at, *n])
             at = int(ends[-1])
