@@ -13,6 +13,8 @@ ids: packed like any other. Empty table: no rows. Columns beyond id and text are
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +31,18 @@ OUT = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id lon
 _caches: dict[str, "Ids"] = {}
 
 
+_TAIL = re.compile(rb"(.*[^\x00-\x40\x5b-\x60\x7b-\x7f])([,.!?;:]+)", re.DOTALL)
+
+
+def parted(word: bytes) -> tuple[bytes, bytes]:
+    """The word without stops after a last letter, and these: the pre-tokeniser splits there, and lower-cases, so that
+    words that differ in that only are tokenised once."""
+    core, tail = word, b""
+    if (m := _TAIL.fullmatch(word)) and (m[1][-1] < 0x80 or decode(m[1])[-1].isalpha()):
+        core, tail = m[1], m[2]
+    return (core.lower() if core.isalpha() else core), tail
+
+
 class Ids:
     """word -> its token ids as little-endian uint32 bytes; words that were not met since the table was last full go."""
 
@@ -44,13 +58,21 @@ class Ids:
         if len(self.now) >= CACHE_WORDS:
             self.now, self.before = {}, self.now
         new = []
-        for w in words - self.now.keys():
-            if (ids := self.before.get(w)) is None:
-                new.append(w)
-            else:
-                self.now[w] = ids
-        for w, e in zip(new, self.tokenizer.encode_batch([decode(w) for w in new], add_special_tokens=False), strict=True):
-            self.now[w] = np.array(e.ids, "<u4").tobytes()
+        for w in words:
+            if w not in self.now:
+                if (ids := self.before.get(w)) is None:
+                    new.append(w)
+                else:
+                    self.now[w] = ids
+        parts = list(map(parted, new))
+        cores = {c for c, t in parts if c not in self.now} | {t for c, t in parts if t and t not in self.now}
+        found = {w: self.before[w] for w in cores if w in self.before}
+        cores = [w for w in cores if w not in found]
+        for w, e in zip(cores, self.tokenizer.encode_batch([decode(w) for w in cores], add_special_tokens=False), strict=True):
+            found[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        self.now |= found
+        for w, (c, t) in zip(new, parts, strict=True):
+            self.now[w] = self.now[c] + self.now[t] if t else self.now[c]
         return self.now
 
 

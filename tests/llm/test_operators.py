@@ -427,7 +427,7 @@ def test_op9(spark, folder, rows):
     assert {k: n * k[1] for k, n in ids.items()} == {k: sum(r.length for r in v) for k, v in by_doc.items()}
 
 
-@pytest.mark.parametrize("text", ["don't <|endoftext|> x<|endoftext|>y", "a b c\x85d ́e", "İSTANBUL ΣΑΣ ﬁ 漢字　か 12.5", "tab\there\x0bvt\x0cff\rcr"])
+@pytest.mark.parametrize("text", ["don't <|endoftext|> x<|endoftext|>y", "a b c\x85d ́e", "İSTANBUL ΣΑΣ ﬁ 漢字　か 12.5", "tab\there\x0bvt\x0cff\rcr", "End, END. eND!? é. É, ́. x́. 漢。, a1. <|ENDOFTEXT|>. x<|endoftext|>a. it's, IT'S."])
 def test_words_tokenise_like_texts(text):
     import numpy as np
     import public_tokenizers as P
