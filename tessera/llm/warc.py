@@ -1,12 +1,12 @@
 """WARC records in ZIP packages: a writer, and a reader that takes ranges of bytes.
 
-Writing: a task packs its records into archives (each a ZIP of stored members: archive/data.warc and
+Writing: a task packs its records into archives (each a ZIP of stored members: archive/data.warc.gz, a gzip member per record, and
 indexes/index.cdxj, ZIP64 where sizes ask for it) in the shared folder, under a name of its own, then moves each to
 its place, so a task that is run again leaves whole archives only, and only those that a finished task names are read.
 
 Reading: the end record, its ZIP64 twin and the central directory are parsed from the tail of the file; local headers
 give where stored members begin; the index member is read, and records are fetched by range from the archive member.
-Nothing is extracted. Deflated members are refused.
+Nothing is extracted; only the record's own gzip member is inflated. Deflated ZIP members are refused.
 
 Payloads of MINIMUM bytes or more that are equal: the least page_id keeps the payload (response), the others point to
 it (revisit). Null html: empty payload. Null page_id: a response never pointed at; a revisit if an equal payload with an
@@ -15,6 +15,7 @@ id exists. Repeated rows of one id: all responses. Empty tables: no archives. Ot
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 import struct
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import has_columns, new_path
 
-MINIMUM, MEMBER, INDEX = 100, "archive/data.warc", "indexes/index.cdxj"
+MINIMUM, MEMBER, INDEX = 100, "archive/data.warc.gz", "indexes/index.cdxj"
 ARCHIVE_BYTES = 64 << 20  #: an archive is closed beyond that
 
 
@@ -151,7 +152,7 @@ def _pack(folder: str):
                     headers = [("WARC-Record-ID", f"<urn:page:{'' if page is None else page}>"), ("WARC-Target-URI", (url or "").replace("\r", "%0D").replace("\n", "%0A")), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(size))]
                     if kind == "revisit":
                         headers += [("WARC-Refers-To", f"<urn:page:{refers}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
-                    records.append(record(kind, headers, payload or b""))
+                    records.append(gzip.compress(record(kind, headers, payload or b""), 6, mtime=0))
                     index.append(json.dumps({"page": page, "offset": at, "length": len(records[-1])}).encode() + b"\n")
                     at += len(records[-1])
                     if at >= ARCHIVE_BYTES:
@@ -177,7 +178,7 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     cols: list[list] = [[] for _ in names]
                     for line in lines[k : k + 256]:
                         entry = json.loads(line)
-                        headers, payload = parse_record(read(begin + entry["offset"], entry["length"]))
+                        headers, payload = parse_record(gzip.decompress(read(begin + entry["offset"], entry["length"])))
                         kind = headers["warc-type"]
                         if kind == "response":
                             n, digest, refers = len(payload), hashlib.sha256(payload).hexdigest(), None
