@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .series import c, div
 
-D = Window.partitionBy("date")
+def D():  # noqa: N802  made late: a window needs a session
+    """A date's rows."""
+    return Window.partitionBy("date")
 
 
 def rank(x, *by: str) -> Column:
@@ -20,20 +22,20 @@ def rank(x, *by: str) -> Column:
 
 
 def scale(x, k: float = 1.0) -> Column:
-    return div(c(x) * F.lit(k), F.sum(F.abs(c(x))).over(D))
+    return div(c(x) * F.lit(k), F.sum(F.abs(c(x))).over(D()))
 
 
 def row_max(x) -> Column:
-    return F.max(c(x)).over(D)
+    return F.max(c(x)).over(D())
 
 
 def row_min(x) -> Column:
-    return F.min(c(x)).over(D)
+    return F.min(c(x)).over(D())
 
 
 def z(x, ddof: int = 1) -> Column:
-    sd = (F.stddev_samp if ddof else F.stddev_pop)(c(x)).over(D)
-    return div(c(x) - F.avg(c(x)).over(D), sd)
+    sd = (F.stddev_samp if ddof else F.stddev_pop)(c(x)).over(D())
+    return div(c(x) - F.avg(c(x)).over(D()), sd)
 
 
 def demean(x, *by: str) -> Column:
@@ -41,7 +43,7 @@ def demean(x, *by: str) -> Column:
 
 
 def median(x) -> Column:
-    return F.percentile(c(x), F.lit(0.5)).over(D)
+    return F.percentile(c(x), F.lit(0.5)).over(D())
 
 
 def sign(x) -> Column:

@@ -7,7 +7,9 @@ from __future__ import annotations
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-S = Window.partitionBy("symbol").orderBy("date")
+def S() -> WindowSpec:  # noqa: N802  made late: a window needs a session
+    """A symbol's rows by date."""
+    return Window.partitionBy("symbol").orderBy("date")
 
 
 def c(x: Column | str) -> Column:
@@ -15,7 +17,7 @@ def c(x: Column | str) -> Column:
 
 
 def rows(n: int) -> WindowSpec:
-    return S.rowsBetween(1 - n, 0)
+    return S().rowsBetween(1 - n, 0)
 
 
 def full(x: Column | str, n: int, e: Column) -> Column:
@@ -35,7 +37,7 @@ def div(a: Column, b: Column) -> Column:
 
 
 def delay(x, n: int) -> Column:
-    return F.lag(c(x), n).over(S)
+    return F.lag(c(x), n).over(S())
 
 
 def delta(x, n: int) -> Column:

@@ -21,7 +21,7 @@ def corr(x: str | Column, y: str | Column) -> Column:
 
 def forward_return(df: DataFrame, h: int, kind: str = "raw") -> DataFrame:
     """open[t + 1 + h] / open[t + 1] - 1; market_neutral: less the date's mean; rank: centred percentile rank."""
-    out = df.withColumn("fwd", div(F.lead("open", 1 + h).over(S), F.lead("open", 1).over(S)) - 1)
+    out = df.withColumn("fwd", div(F.lead("open", 1 + h).over(S()), F.lead("open", 1).over(S())) - 1)
     if kind == "market_neutral":
         return out.withColumn("fwd", cross.demean("fwd"))
     return out.withColumn("fwd", cross.rank("fwd") - 0.5) if kind == "rank" else out
@@ -48,7 +48,7 @@ def turnover(df: DataFrame, top: float = 0.8) -> DataFrame:
     """Equal weights over the top ranks; half the absolute change of weights from one date to the next, per date."""
     held = df.withColumn("w", (cross.rank("value") >= top).cast("double"))
     held = held.withColumn("w", F.coalesce(div(F.col("w"), F.sum("w").over(Window.partitionBy("date"))), F.lit(0.0)))
-    return held.withColumn("dw", F.abs(F.col("w") - F.coalesce(F.lag("w").over(S), F.lit(0.0)))).groupBy("date").agg((F.sum("dw") / 2).alias("turnover"))
+    return held.withColumn("dw", F.abs(F.col("w") - F.coalesce(F.lag("w").over(S()), F.lit(0.0)))).groupBy("date").agg((F.sum("dw") / 2).alias("turnover"))
 
 
 def basket_overlap(df: DataFrame, top: float = 0.8) -> DataFrame:
@@ -64,8 +64,8 @@ def sleeves(df: DataFrame, h: int = 5, top: float = 0.9, fee_bps: float = 15.0)
     a window; date, gross and net return of the next close, turnover and the log of NAV."""
     w = df.withColumn("r", cross.rank("value")).withColumn("pick", F.coalesce((F.col("r") >= top).cast("double"), F.lit(0.0)))
     w = w.withColumn("entry", F.coalesce(div(F.col("pick"), F.sum("pick").over(Window.partitionBy("date"))), F.lit(0.0)) / h)
-    w = w.withColumn("weight", F.sum("entry").over(rows(h))).withColumn("next", F.lead("ret").over(S))
-    w = w.withColumn("dw", F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(S), F.lit(0.0))))
+    w = w.withColumn("weight", F.sum("entry").over(rows(h))).withColumn("next", F.lead("ret").over(S()))
+    w = w.withColumn("dw", F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(S()), F.lit(0.0))))
     per = w.groupBy("date").agg(F.sum(F.col("weight") * F.coalesce("next", F.lit(0.0))).alias("gross"), (F.sum("dw") / 2).alias("turnover"))
     per = per.withColumn("net", F.col("gross") - F.col("turnover") * 2 * fee_bps / 1e4)
     return per.withColumn("log_nav", F.sum(F.log1p("net")).over(Window.orderBy("date")))  # a row per date
@@ -114,12 +114,12 @@ def implementation_shortfall(fills: DataFrame) -> DataFrame:
 
 def exposures(df: DataFrame) -> DataFrame:
     """Style exposures of staged bars: size, momentum, short reversal, volatility and beta, standardised per date."""
-    caps = df.withColumn("lag_cap", F.lag("amount").over(S))
-    market = div(F.sum(F.col("lag_cap") * F.col("ret")).over(cross.D), F.sum(F.when(F.col("ret").isNotNull(), F.col("lag_cap"))).over(cross.D))
+    caps = df.withColumn("lag_cap", F.lag("amount").over(S()))
+    market = div(F.sum(F.col("lag_cap") * F.col("ret")).over(cross.D()), F.sum(F.when(F.col("ret").isNotNull(), F.col("lag_cap"))).over(cross.D()))
     x = caps.withColumn("mkt", market)
     w = rows(60)
     p, q = pairwise("ret", "mkt")
-    x = x.withColumns({"size": cross.log("amount"), "momentum": div(F.lag("close", 4).over(S), F.lag("close", 26).over(S)) - 1, "reversal": -(div(F.col("close"), F.lag("close", 4).over(S)) - 1), "vol": F.when(F.count("ret").over(rows(20)) >= 5, F.stddev_pop("ret").over(rows(20))), "beta": F.when(F.count(p).over(w) >= 20, div(F.covar_samp(p, q).over(w), F.var_pop(q).over(w)))})
+    x = x.withColumns({"size": cross.log("amount"), "momentum": div(F.lag("close", 4).over(S()), F.lag("close", 26).over(S())) - 1, "reversal": -(div(F.col("close"), F.lag("close", 4).over(S())) - 1), "vol": F.when(F.count("ret").over(rows(20)) >= 5, F.stddev_pop("ret").over(rows(20))), "beta": F.when(F.count(p).over(w) >= 20, div(F.covar_samp(p, q).over(w), F.var_pop(q).over(w)))})
     return x.select("date", "symbol", "ret", *(cross.z(n, 0).alias(n) for n in ("size", "momentum", "reversal", "vol", "beta")))
 
 

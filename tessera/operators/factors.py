@@ -51,9 +51,9 @@ def base(df: DataFrame, name: str, w: int = 5) -> DataFrame:
     hi = at_least("high", w, m, F.max("high").over(rows(w)))
     lo = at_least("low", w, m, F.min("low").over(rows(w)))
     simple = {
-        "return": lambda: div(c, F.lag("close", w).over(S)) - 1,
-        "skip_return": lambda: div(F.lag("close", skip).over(S), F.lag("close", skip + w).over(S)) - 1,
-        "reversal": lambda: -(div(c, F.lag("close", w).over(S)) - 1),
+        "return": lambda: div(c, F.lag("close", w).over(S())) - 1,
+        "skip_return": lambda: div(F.lag("close", skip).over(S()), F.lag("close", skip + w).over(S())) - 1,
+        "reversal": lambda: -(div(c, F.lag("close", w).over(S())) - 1),
         "sma_gap": lambda: div(c, mean("close", w)) - 1,
         "range_position": lambda: div(c - lo, hi - lo) - 0.5,
         "stoch": lambda: div(c - lo, hi - lo) - 0.5,
@@ -63,8 +63,8 @@ def base(df: DataFrame, name: str, w: int = 5) -> DataFrame:
         "range_ratio": lambda: mean("hl", w),
         "realized_vol": lambda: sd("ret", w),
         "downside_vol": lambda: sd("down", w),
-        "trend_strength": lambda: div(div(c, F.lag("close", w).over(S)) - 1, sd("ret", w)),
-        "efficiency": lambda: div(F.abs(c - F.lag("close", w).over(S)), at_least("absd", w, m, F.sum("absd").over(rows(w)))),
+        "trend_strength": lambda: div(div(c, F.lag("close", w).over(S())) - 1, sd("ret", w)),
+        "efficiency": lambda: div(F.abs(c - F.lag("close", w).over(S())), at_least("absd", w, m, F.sum("absd").over(rows(w)))),
         "volume_ratio": lambda: div(v, mean("volume", w)) - 1,
         "volume_z": lambda: div(v - mean("volume", w), sd("volume", w)),
         "dollar_volume": lambda: div(F.col("cv"), mean("cv", w)) - 1,
@@ -94,7 +94,7 @@ def base(df: DataFrame, name: str, w: int = 5) -> DataFrame:
         k = min(30, max(5, w // 2))
         return df.withColumn("sma", mean("close", w)).withColumn("value", div(series.slope("sma", k), c))
     if name == "obv_slope":
-        obv = df.withColumn("obv", F.sum(F.coalesce("flow", F.lit(0.0))).over(S.rowsBetween(Window.unboundedPreceding, 0)))
+        obv = df.withColumn("obv", F.sum(F.coalesce("flow", F.lit(0.0))).over(S().rowsBetween(Window.unboundedPreceding, 0)))
         return obv.withColumn("value", div(series.slope("obv", min(w, 60)), mean("volume", w)))
     raise ValueError(f"unknown base {name}")
 
@@ -111,7 +111,7 @@ def transform(df: DataFrame, name: str, w: int = 5) -> DataFrame:
         "raw": lambda: x,
         "neg": lambda: -x,
         "z": lambda: div(x - mean("value", norm), sd("value", norm)),
-        "delta": lambda: x - F.lag("value", lag).over(S),
+        "delta": lambda: x - F.lag("value", lag).over(S()),
         "rank": lambda: pct_rank("value", norm),
         "vol_scaled": lambda: div(x, sd("ret", norm)),
         "stability": lambda: div(x, sd("value", norm)),
@@ -119,7 +119,7 @@ def transform(df: DataFrame, name: str, w: int = 5) -> DataFrame:
         "compress": lambda: F.tanh(x),
     }
     if name == "smooth":
-        seen = F.count("value").over(S.rowsBetween(Window.unboundedPreceding, 0))
+        seen = F.count("value").over(S().rowsBetween(Window.unboundedPreceding, 0))
         return fold(df, "value", 2 / (smooth + 1), "e").withColumn("k", seen).withColumn("value", F.when(F.col("k") >= min_periods(smooth, 3), F.col("e")))
     return df.withColumn("value", simple[name]())
 
@@ -133,6 +133,6 @@ def signals(df: DataFrame, quantile: float = 0.8) -> DataFrame:
     """Per-date percentile rank, long at or over the quantile, short at or under its complement, and what changes."""
     ranked = df.withColumn("pct", cross.rank("value"))
     side = F.when(F.col("pct") >= quantile, 1).when(F.col("pct") <= 1 - quantile, -1).otherwise(0)
-    held = ranked.withColumn("signal", side).withColumn("position", F.coalesce(F.lag("signal").over(S), F.lit(0)))
+    held = ranked.withColumn("signal", side).withColumn("position", F.coalesce(F.lag("signal").over(S()), F.lit(0)))
     action = F.when(F.col("signal") > F.col("position"), "buy").when(F.col("signal") < F.col("position"), "sell").otherwise("hold")
     return held.withColumn("exit", (F.col("position") != 0) & (F.col("signal") == 0)).withColumn("action", action)

@@ -161,7 +161,7 @@ def _cross() -> None:
     add("x01_mad_z", mad, f"WITH {O.STAGED}, t AS (SELECT *, {med} AS m FROM b {O.WINDOWS}), t2 AS (SELECT *, quantile_cont(abs(ret - m), 0.5) OVER d * 1.4826::DOUBLE AS mad FROM t {O.WINDOWS}), t3 AS (SELECT *, CASE WHEN ret IS NOT NULL THEN greatest(m - 3.0::DOUBLE * mad, least(m + 3.0::DOUBLE * mad, ret)) END AS x FROM t2) SELECT symbol, date, {O.tidy('(x - avg(x) OVER d) / nullif(stddev_samp(x) OVER d, 0)')} AS value FROM t3 {O.WINDOWS}")
     column("x03_z_pop", lambda: cross.z("ret", 0), "(ret - avg(ret) OVER d) / nullif(stddev_pop(ret) OVER d, 0)")
     lo, hi = "quantile_cont(ret, 0.05) OVER d", "quantile_cont(ret, 0.95) OVER d"
-    column("x04_quantile_winsor", lambda: F.when(F.col("ret").isNotNull(), F.greatest(F.percentile("ret", F.lit(0.05)).over(cross.D), F.least(F.percentile("ret", F.lit(0.95)).over(cross.D), F.col("ret")))), f"CASE WHEN ret IS NOT NULL THEN greatest({lo}, least({hi}, ret)) END")
+    column("x04_quantile_winsor", lambda: F.when(F.col("ret").isNotNull(), F.greatest(F.percentile("ret", F.lit(0.05)).over(cross.D()), F.least(F.percentile("ret", F.lit(0.95)).over(cross.D()), F.col("ret")))), f"CASE WHEN ret IS NOT NULL THEN greatest({lo}, least({hi}, ret)) END")
     column("x06_label_rank", lambda: cross.rank("ret") - 0.5, f"({O.pct('ret')}) - 0.5")
     column("x07_median_fill", lambda: F.coalesce(F.col("ret"), cross.median("ret")), f"coalesce(ret, {med})")
 
@@ -182,8 +182,8 @@ def _evaluate() -> None:
     add("e01_forward_return", lambda s, d: analytics.forward_return(staged(s, d), 5).select("symbol", "date", tidy("fwd").alias("value")), O.value("lead(open, 6) OVER s / nullif(lead(open, 1) OVER s, 0) - 1"))
     add("e03_daily_ic", lambda s, d: analytics.daily_ic(_valued(s, d)).select("date", tidy("ic").alias("ic"), tidy("rank_ic").alias("rank_ic"), "n"), ic + f" SELECT date, {O.tidy('ic')} AS ic, {O.tidy('rank_ic')} AS rank_ic, n FROM i")
     add("e08_ic_summary", lambda s, d: analytics.summary(analytics.daily_ic(_valued(s, d))).select(tidy("ic_mean").alias("ic_mean"), tidy("ic_std").alias("ic_std"), tidy("icir").alias("icir"), tidy("positive").alias("positive"), "dates"), ic + f" SELECT {O.tidy('avg(ic)')} AS ic_mean, {O.tidy('stddev_samp(ic)')} AS ic_std, {O.tidy('avg(ic) / stddev_samp(ic) * sqrt(252 / 5.0::DOUBLE)')} AS icir, {O.tidy('avg((ic > 0)::INT)')} AS positive, count(ic) AS dates FROM i")
-    w = Window.orderBy("date")
-    add("e07_ic_timeline", lambda s, d: analytics.daily_ic(_valued(s, d)).select("date", tidy(F.sum("ic").over(w)).alias("cumulative"), tidy(F.avg("ic").over(w.rowsBetween(-59, 0))).alias("rolling")), ic + f" SELECT date, {O.tidy('sum(ic) OVER (ORDER BY date)')} AS cumulative, {O.tidy('avg(ic) OVER (ORDER BY date ROWS 59 PRECEDING)')} AS rolling FROM i")
+    w = lambda: Window.orderBy("date")
+    add("e07_ic_timeline", lambda s, d: analytics.daily_ic(_valued(s, d)).select("date", tidy(F.sum("ic").over(w())).alias("cumulative"), tidy(F.avg("ic").over(w().rowsBetween(-59, 0))).alias("rolling")), ic + f" SELECT date, {O.tidy('sum(ic) OVER (ORDER BY date)')} AS cumulative, {O.tidy('avg(ic) OVER (ORDER BY date ROWS 59 PRECEDING)')} AS rolling FROM i")
 
     def decay(s, d):
         out = None
@@ -290,7 +290,7 @@ def _portfolio() -> None:
     add("q06_specific_risk", lambda s, d: analytics.ewma_specific(staged(s, d)).select("symbol", tidy("variance").alias("variance")), f"WITH {O.STAGED}, a AS (SELECT symbol, ret, pow({0.5 ** (1 / 60.0)!r}::DOUBLE, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) - 1) AS w FROM b WHERE ret IS NOT NULL) SELECT symbol, {O.tidy('sum(w * ret * ret) / sum(w) - (sum(w * ret) / sum(w)) ** 2')} AS variance FROM a GROUP BY symbol HAVING count(*) >= 5")
 
     def beta(s, d):
-        b = staged(s, d).withColumn("mkt", F.avg("ret").over(cross.D))
+        b = staged(s, d).withColumn("mkt", F.avg("ret").over(cross.D()))
         return analytics.rolling_beta(b, 20).select("symbol", "date", *(tidy(n).alias(n) for n in ("alpha", "beta", "r2")))
 
     bt = "covar_samp(ret, mkt) OVER w20 / nullif(var_samp(CASE WHEN ret IS NOT NULL THEN mkt END) OVER w20, 0)"
@@ -305,7 +305,7 @@ def _validate() -> None:
     add("v01_sharpe_moments", lambda s, d: analytics.sharpe_stats(staged(s, d).filter("ret is not null"), "symbol").select("symbol", tidy("sr").alias("sr"), "n"), f"WITH {O.STAGED} SELECT symbol, {O.tidy('avg(ret) / nullif(stddev_samp(ret), 0)')} AS sr, count(ret) AS n FROM b WHERE ret IS NOT NULL GROUP BY symbol")
 
     def trials(s, d):
-        t = staged(s, d).filter("symbol <= 12 and ret is not null").withColumn("k", F.row_number().over(series.S))
+        t = staged(s, d).filter("symbol <= 12 and ret is not null").withColumn("k", F.row_number().over(series.S()))
         return t.select(F.col("symbol").alias("trial"), (F.col("k") % 6).cast("int").alias("block"), "ret")
 
     add("v03_pbo", lambda s, d: analytics.pbo(trials(s, d), 6).agg(F.count("*").alias("splits"), tidy(F.avg((F.col("logit") <= 0).cast("double"))).alias("pbo")))
@@ -336,10 +336,9 @@ def _quality() -> None:
     add("a24_repeated_keys", lambda s, d: table(s, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n")).filter("n > 1"), "SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
     add("a13_month_ends", lambda s, d: table(s, d, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("date").alias("month")).agg(F.max("o_orderdate").cast("date").alias("last")), "SELECT date_trunc('month', o_orderdate)::DATE AS month, max(o_orderdate)::DATE AS last FROM orders GROUP BY 1")
     add("a14_latest_rows", lambda s, d: text.best_version(table(s, d, "orders"), "o_custkey", F.col("o_orderdate"), "o_orderkey").select("o_custkey", "o_orderkey"), "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1")
-    streak = Window.partitionBy("symbol").orderBy("date")
 
     def streaks(s, d):
-        x = staged(s, d).withColumn("g", F.row_number().over(streak) - F.row_number().over(Window.partitionBy("symbol", F.col("ret") > 0).orderBy("date")))
+        x = staged(s, d).withColumn("g", F.row_number().over(series.S()) - F.row_number().over(Window.partitionBy("symbol", F.col("ret") > 0).orderBy("date")))
         return x.filter("ret > 0").groupBy("symbol", "g").agg(F.count("*").alias("n")).groupBy("symbol").agg(F.max("n").alias("longest"))
 
     add("a23_streaks", streaks, f"WITH {O.STAGED}, g AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - row_number() OVER (PARTITION BY symbol, ret > 0 ORDER BY date) AS g FROM b), n AS (SELECT symbol, g, count(*) AS n FROM g WHERE ret > 0 GROUP BY ALL) SELECT symbol, max(n) AS longest FROM n GROUP BY symbol")

@@ -106,8 +106,8 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with the lagged columns that most factors read, over one window."""
     b = bars(spark, sf_dir)
-    pc, pv = F.lag("close").over(S), F.lag("volume").over(S)
-    b = b.withColumns({"pc": pc, "ret": F.try_divide("close", pc) - 1, "dv": F.try_divide("volume", pv) - 1, "ph": F.lag("high").over(S), "pl": F.lag("low").over(S), "n": F.row_number().over(S)})
+    pc, pv = F.lag("close").over(S()), F.lag("volume").over(S())
+    b = b.withColumns({"pc": pc, "ret": F.try_divide("close", pc) - 1, "dv": F.try_divide("volume", pv) - 1, "ph": F.lag("high").over(S()), "pl": F.lag("low").over(S()), "n": F.row_number().over(S())})
     span = F.col("high") - F.col("low")
     top, bottom = F.greatest("open", "close"), F.least("open", "close")
     return b.withColumns(
