@@ -112,7 +112,7 @@ def implementation_shortfall(fills: DataFrame) -> DataFrame:
     return fills.withColumns({"timing": bps(F.col("vwap"), F.col("arrival")), "slippage": bps(F.col("price"), F.col("vwap")), "shortfall": bps(F.col("price"), F.col("arrival"))})
 
 
-def exposures(df: DataFrame) -> DataFrame:
+def exposures(df: DataFrame, *keep: str) -> DataFrame:
     """Style exposures of staged bars: size, momentum, short reversal, volatility and beta, standardised per date."""
     caps = df.withColumn("lag_cap", F.lag("amount").over(S()))
     market = div(F.sum(F.col("lag_cap") * F.col("ret")).over(cross.D()), F.sum(F.when(F.col("ret").isNotNull(), F.col("lag_cap"))).over(cross.D()))
@@ -120,7 +120,7 @@ def exposures(df: DataFrame) -> DataFrame:
     w = rows(60)
     p, q = pairwise("ret", "mkt")
     x = x.withColumns({"size": cross.log("amount"), "momentum": div(F.lag("close", 4).over(S()), F.lag("close", 26).over(S())) - 1, "reversal": -(div(F.col("close"), F.lag("close", 4).over(S())) - 1), "vol": F.when(F.count("ret").over(rows(20)) >= 5, F.stddev_pop("ret").over(rows(20))), "beta": F.when(F.count(p).over(w) >= 20, div(F.covar_samp(p, q).over(w), F.var_pop(q).over(w)))})
-    return x.select("date", "symbol", "ret", *(cross.z(n, 0).alias(n) for n in ("size", "momentum", "reversal", "vol", "beta")))
+    return x.select("date", "symbol", "ret", *keep, *(cross.z(n, 0).alias(n) for n in ("size", "momentum", "reversal", "vol", "beta")))
 
 
 def ewma_specific(df: DataFrame, half_life: float = 60.0) -> DataFrame:

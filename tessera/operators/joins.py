@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a side, counted first, up to which it is broadcast.
+BROADCAST_ROWS = 10_000
+
 
 def _us(x: str) -> Column:
     """Microseconds of a timestamp with or without zone."""
@@ -47,8 +50,9 @@ def nearest(left: DataFrame, right: DataFrame, on: str, by: str, values: list[st
 
 def vintages(v: DataFrame, dates: DataFrame, keys: list[str]) -> DataFrame:
     """For each as-of date the latest row of each key disclosed before it (a disclosure counts from the day after).
-    `dates` is the short list of as-of dates."""
-    seen = v.join(F.broadcast(dates.limit(10_000)), F.col("disclosed") < F.col("as_of"))
+    A short list of as-of dates is broadcast; the planner decides for a longer one."""
+    short = dates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    seen = v.join(F.broadcast(dates) if short else dates, F.col("disclosed") < F.col("as_of"))
     last = Window.partitionBy("as_of", *keys).orderBy(F.col("disclosed").desc())
     return seen.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
 

@@ -52,8 +52,8 @@ def panel_findings(p: DataFrame) -> DataFrame:
     """Point-in-time rows: malformed dates, availability not after disclosure or after the as-of date, repeated keys."""
     ok = lambda n: F.col(n).rlike(r"^\d{8}$")
     repeated = F.count("*").over(Window.partitionBy("symbol", "quarter", "as_of")) > 1
-    tests = {"bad_date": ~(ok("disclosed") & ok("available") & ok("as_of")), "early": F.col("available") <= F.col("disclosed"), "future": F.col("available") > F.col("as_of"), "repeated": repeated}
-    return p.select("symbol", "quarter", F.explode(F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in tests.items())))).alias("finding"))
+    tests = {"bad_date": ~(ok("disclosed") & ok("available") & ok("as_of")), "early": F.col("available") <= F.col("disclosed"), "future": F.col("available") > F.col("as_of"), "repeated": F.col("_repeated")}
+    return p.withColumn("_repeated", repeated).select("symbol", "quarter", F.explode(F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in tests.items())))).alias("finding"))
 
 
 def kline_rules(b: DataFrame) -> DataFrame:
@@ -67,3 +67,10 @@ def f_score(t: DataFrame) -> DataFrame:
     """Nine-point score of (roa, cfo, droa, accrual, dleverage, dliquidity, issued, dmargin, dturnover)."""
     marks = ["roa > 0", "cfo > 0", "droa > 0", "cfo > roa", "dleverage < 0", "dliquidity > 0", "issued <= 0", "dmargin > 0", "dturnover > 0"]
     return t.withColumn("f_score", sum(F.when(F.expr(m), 1).otherwise(0) for m in marks))
+
+
+def ratios(f: DataFrame) -> DataFrame:
+    """Fundamental ratios of (price_cap, net_income, book, revenue, cash_flow, gross_profit, assets, debt)."""
+    r = {"ep": ("net_income", "price_cap"), "bp": ("book", "price_cap"), "sp": ("revenue", "price_cap"), "cp": ("cash_flow", "price_cap"), "gpa": ("gross_profit", "assets"), "roe": ("net_income", "book"), "roa": ("net_income", "assets"), "margin": ("net_income", "revenue"), "leverage": ("debt", "assets"), "cash_quality": ("cash_flow", "net_income")}
+    x = f.withColumns({n: F.try_divide(a, b) for n, (a, b) in r.items()})
+    return x.withColumn("accruals", F.try_divide(F.col("net_income") - F.col("cash_flow"), F.col("assets")))

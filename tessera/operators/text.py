@@ -74,3 +74,45 @@ def chunks(docs: DataFrame, key: str, text: str, most: int) -> DataFrame:
 def sentences(docs: DataFrame, key: str, text: str) -> DataFrame:
     parts = F.filter(F.transform(F.split(c(text), r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
     return docs.select(key, F.posexplode(parts).alias("place", "sentence"))
+
+
+def _clock(x: Column, at: str) -> Column:
+    """Seconds of the clock time that follows `at`, hours optional."""
+    part = lambda k: F.coalesce(F.nullif(F.regexp_extract(x, at + r"(?:(\d+):)?(\d+):(\d+)[.,](\d+)", k), F.lit("")), F.lit("0"))
+    return part(1).cast("double") * 3600 + part(2).cast("double") * 60 + F.concat(part(3), F.lit("."), part(4)).cast("double")
+
+
+def _one_line(x: Column) -> Column:
+    return F.trim(F.regexp_replace(x, r"\s+", " "))
+
+
+def web_vtt(x) -> Column:
+    """Cues of a WebVTT text: array of (text, start, duration), tags and cue settings gone, empty cues left out."""
+    blocks = F.split(F.regexp_replace(c(x), "\r\n?", "\n"), r"\n[ \t]*\n")
+
+    def cue(b: Column) -> Column:
+        start = _clock(b, "")
+        said = _one_line(F.regexp_replace(F.regexp_extract(b, r"-->[^\n]*\n([\s\S]*)$", 1), r"<[^>]*>", ""))
+        return F.struct(said.alias("text"), start.alias("start"), F.round(_clock(b, "-->[ ]*") - start, 3).alias("duration"))
+
+    cues = F.transform(F.filter(blocks, lambda b: b.rlike(r"\d[.,]\d+[ \t]*-->")), cue)
+    return F.filter(cues, lambda s: s["text"] != "")
+
+
+def json3(x) -> Column:
+    """Snippets of a timed-text JSON (events of tStartMs, dDurationMs and segs): array of (text, start, duration)."""
+    events = F.from_json(c(x), "events array<struct<tStartMs: double, dDurationMs: double, segs: array<struct<utf8: string>>>>")["events"]
+    text = lambda e: _one_line(F.array_join(F.transform(e["segs"], lambda g: g["utf8"]), ""))
+    made = F.transform(events, lambda e: F.struct(text(e).alias("text"), (e["tStartMs"] / 1000).alias("start"), (F.coalesce(e["dDurationMs"], F.lit(0.0)) / 1000).alias("duration")))
+    return F.filter(made, lambda s: s["text"] != "")
+
+
+#: Track formats, best first.
+TRACKS = ["json3", "srv3", "srv2", "srv1", "ttml", "vtt"]
+
+
+def best_track(tracks) -> Column:
+    """Of an array of (ext, url) the one of the best format; others come last."""
+    place = lambda t: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, TRACKS)), t["ext"]), F.lit(0)), F.lit(len(TRACKS) + 1))
+    ranked = F.transform(c(tracks), lambda t, i: F.struct(place(t).alias("p"), i.alias("i"), t.alias("t")))
+    return F.array_min(ranked)["t"]
