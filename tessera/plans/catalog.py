@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import cross, series
 from tessera.operators import analytics, factors, joins, quality, text
-from tessera.plans import markets
+from tessera.plans import extras, markets
 from tessera.plans import oracle as O
 from tessera.sources.panel import bars, densify, industries, staged, table
 
@@ -369,6 +369,7 @@ def _text() -> None:
 for _register in (_series, _factors, _cross, _evaluate, _joins, _portfolio, _validate, _quality, _text):
     _register()
 markets.register(add, Q, SQL, _valued, _sql_valued())
+extras.register(add, _valued, _sql_valued())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
