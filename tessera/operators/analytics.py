@@ -6,6 +6,8 @@ import math
 from itertools import combinations
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,38 @@ def daily_ic(df: DataFrame, *by: str, least: int = 8) -> DataFrame:
     return ranked.groupBy("date", *by).agg(corr("value", "fwd").alias("ic"), corr("rv", "rf").alias("rank_ic"), F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
+def ic_by_horizon(df: DataFrame, horizons: tuple[int, ...], exact=lambda x: x, least: int = 8) -> DataFrame:
+    """(horizon, date, ic) of `value` against the returns over each horizon: one scan, one window and one aggregate for
+    all horizons; `exact` turns values and returns before they are correlated."""
+    names = {h: f"fwd{h}" for h in horizons}
+    first = F.lead("open", 1).over(S())
+    d = df.withColumns({n: div(F.lead("open", 1 + h).over(S()), first) - 1 for h, n in names.items()}).select("date", exact("value").alias("value"), *(exact(n).alias(n) for n in names.values()))
+    both = lambda n: F.count(F.when(F.col("value").isNotNull(), F.col(n)))
+    wide = d.groupBy("date").agg(*(F.when(both(n) >= least, corr("value", n)).alias(str(h)) for h, n in names.items()))
+    return wide.unpivot("date", [str(h) for h in horizons], "horizon", "ic").select(F.col("horizon").cast("int"), "date", "ic")
+
+
+def half_life_interval(ic: DataFrame, block: int = 20, draws: int = 500, level: float = 0.95, seed: int = 7) -> tuple[float, float, float] | None:
+    """Half-life of exponential decay of |mean IC| over horizons, with a moving-block bootstrap interval over dates.
+    (horizon, date, ic) reaches the driver as a row per date; dates that lack a horizon go. Draws that do not decay count
+    as infinite; None where there are fewer dates than a block or fewer than two horizons."""
+    rows = ic.groupBy("date").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("horizon", "ic")))).alias("m")).orderBy("date").collect()
+    places = sorted({h for r in rows for h in r["m"]})
+    held = np.array([[r["m"][h] for h in places] for r in rows if all(r["m"].get(h) is not None for h in places)], float)
+    if len(held) < block or len(places) < 2:
+        return None
+    x = np.array(places, float) - np.mean(places)
+    rng = np.random.default_rng(seed)
+    found = []
+    for draw in range(draws + 1):
+        starts = rng.integers(0, len(held) - block + 1, -(-len(held) // block))
+        pick = np.arange(len(held)) if draw == 0 else (starts[:, None] + np.arange(block)).ravel()[: len(held)]
+        rate = float(x @ np.log(np.maximum(np.abs(held[pick].mean(axis=0)), 1e-12)) / (x @ x))
+        found.append(math.log(2) / -rate if rate < 0 else math.inf)
+    low, high = np.sort(found[1:])[[int(draws * (1 - level) / 2), min(draws - 1, int(draws * (1 + level) / 2))]]
+    return found[0], float(low), float(high)
+
+
 def summary(ic: DataFrame, h: int = 5, *by: str) -> DataFrame:
     m, s = F.avg("ic"), F.stddev_samp("ic")
     return ic.groupBy(*by).agg(m.alias("ic_mean"), s.alias("ic_std"), (div(m, s) * math.sqrt(252 / h)).alias("icir"), F.avg((F.col("ic") > 0).cast("double")).alias("positive"), F.count("ic").alias("dates"))
@@ -238,8 +272,6 @@ def newey_west_t(df: DataFrame, value: str, by: str, order: str, lags: int = 4)
 
 def gram(df: DataFrame, names: list[str], y: str):
     """X'X and X'y with an intercept by one aggregate; a (k + 1) x (k + 2) matrix on the driver."""
-    import numpy as np
-
     cols = [F.lit(1.0), *map(F.col, names), F.col(y)]
     k = len(cols)
     at = [(i, j) for i in range(k - 1) for j in range(i, k)]
@@ -254,8 +286,6 @@ def gram(df: DataFrame, names: list[str], y: str):
 
 def ridge(df: DataFrame, names: list[str], y: str, alpha: float) -> dict[str, float]:
     """Ridge by normal equations; the intercept is not penalised."""
-    import numpy as np
-
     xx, xy = gram(df, names, y)
     penalty = np.eye(len(xx)) * alpha
     penalty[0, 0] = 0
@@ -277,8 +307,6 @@ def mrmr(df: DataFrame, names: list[str], y: str, k: int) -> list[str]:
 
 def daily_ols(df: DataFrame, names: list[str], y: str) -> DataFrame:
     """Per-date least squares (a matrix solve per date, one cross-section in memory): date, name, beta."""
-    import numpy as np
-    import pandas as pd
 
     def solve(p: pd.DataFrame) -> pd.DataFrame:
         p = p.dropna()

@@ -184,3 +184,26 @@ def media_kind(url: Column, content_type: Column, hint: Column) -> Column:
         .when(told, F.lit(None).cast("string")).when(hint.isNotNull(), hint)
         .when(url.startswith("data:image/"), "image").when(url.startswith("data:video/"), "video")
     )
+
+
+def sage_linear(df: DataFrame, betas: dict[str, float], y: str) -> dict[str, float]:
+    """Exact shares of a linear model's gain in squared error over all rows: a feature left out is imputed by its mean,
+    which for a linear model is the average over background rows. The losses of all subsets are one aggregate, so at most
+    ten features; rows that lack a value go."""
+    names = [n for n in betas if n in df.columns]
+    if len(names) > 10:
+        raise ValueError("at most ten features")
+    d = df.select(*names, F.col(y).alias("_y")).na.drop()
+    means = d.agg(*(F.avg(n) for n in names)).first()
+    if not names or means[0] is None:
+        return dict.fromkeys(names, 0.0)
+    rest = F.lit(float(betas.get("intercept", 0.0)))
+    part = lambda m: sum((F.lit(float(betas[n])) * (F.col(n) if m >> i & 1 else F.lit(means[i])) for i, n in enumerate(names)), rest)
+    loss = d.agg(*(F.avg(F.pow(F.col("_y") - part(m), F.lit(2.0))) for m in range(1 << len(names)))).first()
+    k = len(names)
+
+    def share(i: int) -> float:
+        without = [m for m in range(1 << k) if not m >> i & 1]
+        return sum((loss[m] - loss[m | 1 << i]) / (k * math.comb(k - 1, m.bit_count())) for m in without)
+
+    return {n: share(i) for i, n in enumerate(names)}

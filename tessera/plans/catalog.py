@@ -186,16 +186,17 @@ def _evaluate() -> None:
     w = lambda: Window.orderBy("date")
     add("e07_ic_timeline", lambda s, d: analytics.daily_ic(_valued(s, d)).select("date", tidy(F.sum("ic").over(w())).alias("cumulative"), tidy(F.avg("ic").over(w().rowsBetween(-59, 0))).alias("rolling")), ic + f" SELECT date, {O.tidy('sum(ic) OVER (ORDER BY date)')} AS cumulative, {O.tidy('avg(ic) OVER (ORDER BY date ROWS 59 PRECEDING)')} AS rolling FROM i")
 
+    def horizons(s, d):
+        return analytics.ic_by_horizon(factors.base(staged(s, d), "return"), (1, 3, 5, 10), tidy)
+
     def decay(s, d):
-        out = None
-        for h in (1, 3, 5, 10):
-            one = analytics.summary(analytics.daily_ic(_valued(s, d, h)), h).select(F.lit(h).alias("horizon"), tidy("ic_mean").alias("ic_mean"), tidy("icir").alias("icir"))
-            out = one if out is None else out.unionByName(one)
-        return out
+        ic = horizons(s, d)
+        return ic.groupBy("horizon").agg(tidy(F.avg("ic")).alias("ic_mean"), tidy(series.div(F.avg("ic"), F.stddev_samp("ic")) * F.sqrt(F.lit(252.0) / F.col("horizon"))).alias("icir"))
 
     def decay_sql(h):
         return "(" + _sql_valued(h) + f", k AS (SELECT * FROM t WHERE value IS NOT NULL AND fwd IS NOT NULL), i AS (SELECT date, covar_pop(value, fwd) / nullif(stddev_pop(value) * stddev_pop(fwd), 0) AS ic FROM k GROUP BY date HAVING count(*) >= 8) SELECT {h} AS horizon, {O.tidy('avg(ic)')} AS ic_mean, {O.tidy(f'avg(ic) / stddev_samp(ic) * sqrt(252 / {h}.0::DOUBLE)')} AS icir FROM i)"
 
+    add("e15_half_life_interval", lambda s, d: s.createDataFrame([analytics.half_life_interval(horizons(s, d)) or (None, None, None)], "half_life double, low double, high double"))
     add("e05_ic_decay", decay, " UNION ALL ".join(map(decay_sql, (1, 3, 5, 10))))
     add("e06_ic_by_sector", lambda s, d: analytics.summary(analytics.daily_ic(_valued(s, d).join(industries(s, d), "symbol"), "sector", least=3), 5, "sector").select("sector", tidy("ic_mean").alias("ic_mean"), "dates"), t + f", k AS (SELECT t.*, n_name AS sector FROM t JOIN supplier ON s_suppkey = symbol JOIN nation ON n_nationkey = s_nationkey WHERE value IS NOT NULL AND fwd IS NOT NULL), i AS (SELECT date, sector, covar_pop(value, fwd) / nullif(stddev_pop(value) * stddev_pop(fwd), 0) AS ic FROM k GROUP BY ALL HAVING count(*) >= 3) SELECT sector, {O.tidy('avg(ic)')} AS ic_mean, count(ic) AS dates FROM i GROUP BY sector")
     bk = t + f", k AS (SELECT * FROM t WHERE value IS NOT NULL AND fwd IS NOT NULL), q AS (SELECT *, ceil(({O.pct('value')}) * 5)::INT AS bucket FROM k), g AS (SELECT date, bucket, avg(fwd) AS m FROM q GROUP BY ALL)"

@@ -162,6 +162,15 @@ def _checks(add: Callable, valued: Callable, sql_valued: str) -> None:
         return s.createDataFrame([checks.calibration_line(f, "p", "y")], "slope double, intercept double")
 
     add("v10_calibration_line", line)
+
+    def shares(s: SparkSession, d: str) -> DataFrame:
+        x = valued(s, d).persist()
+        betas = analytics.ridge(x, ["value", "oc", "gap"], "fwd", 1.0)
+        out = s.createDataFrame(list(checks.sage_linear(x, betas, "fwd").items()), "name string, share double")
+        x.unpersist()
+        return out
+
+    add("e17_sage", shares)
     add("g08_ambiguous_vintages", lambda s, d: table(s, d, "orders").groupBy("o_custkey", F.trunc("o_orderdate", "quarter").alias("quarter")).agg(F.count_distinct("o_totalprice").alias("versions")).filter("versions > 1"), "SELECT o_custkey, date_trunc('quarter', o_orderdate)::DATE AS quarter, count(DISTINCT o_totalprice) AS versions FROM orders GROUP BY ALL HAVING count(DISTINCT o_totalprice) > 1")
     q = "quarter(o_orderdate)"
     add("g07_annualised", lambda s, d: table(s, d, "orders").groupBy("o_custkey", F.year("o_orderdate").cast("long").alias("year")).agg(tidy(F.sum("o_totalprice") * 4 / F.max(F.quarter("o_orderdate"))).alias("value")), f"SELECT o_custkey, year(o_orderdate) AS year, {O.tidy(f'sum(o_totalprice) * 4 / max({q})')} AS value FROM orders GROUP BY ALL")

@@ -98,3 +98,24 @@ def test_media_kind(spark):
     df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "i int, u string, t string, h string")
     got = df.select("i", checks.media_kind(F.col("u"), F.col("t"), F.col("h")).alias("k"), checks.extension(F.col("u")).alias("e")).orderBy("i").collect()
     assert [(r["k"], r["e"]) for r in got] == [r[3:] for r in rows]
+
+
+def test_half_life_interval(spark):
+    from tessera.operators import analytics
+
+    rng = np.random.default_rng(2)
+    rows = [(h, f"2024-{1 + d // 28:02d}-{1 + d % 28:02d}", float(0.2 * 0.5 ** (h / 5) + rng.normal() * 0.01)) for d in range(200) for h in (1, 3, 5, 10)]
+    ic = spark.createDataFrame(rows, "horizon int, date string, ic double")
+    half, low, high = analytics.half_life_interval(ic, draws=100)
+    assert low <= half <= high and half == pytest.approx(5, abs=0.5)
+    assert analytics.half_life_interval(ic.limit(0)) is None
+
+
+def test_linear_shares(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=500), rng.normal(size=500)
+    df = spark.createDataFrame([(float(p), float(q), float(2 * p + q)) for p, q in zip(a, b)] + [(None, 1.0, 1.0)], "a double, b double, y double")
+    got = checks.sage_linear(df, {"a": 2.0, "b": 1.0}, "y")
+    y = 2 * a + b
+    assert sum(got.values()) == pytest.approx(float(np.mean((y - y.mean()) ** 2))) and got["a"] > 2 * got["b"] > 0
+    assert checks.sage_linear(df.limit(0), {"a": 2.0}, "y") == {"a": 0.0}
