@@ -157,6 +157,13 @@ def test_op2(spark, folder, rows):
     assert all(not (x.base_failed and x.kept) for x in got) and sum(x.kept for x in got) > 0.5 * sum(not x.base_failed for x in got)
 
 
+def test_fertility_bands_reject_junk_that_the_base_rules_pass(spark):
+    sf = "/root/testdata/sf0.01"
+    got = fertility.quality(spark.read.parquet(f"{sf}/documents.parquet"), ["doc_id"]).filter("not base_failed")
+    by = {r.quality: (r.n, r.kept) for r in got.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect()}
+    assert by[0][0] >= 10 and by[0][1] < 0.5 * by[0][0] and by[1][1] > 0.95 * by[1][0], by
+
+
 def test_fertility_of_words_is_that_of_texts(spark):
     import public_tokenizers as P
 
