@@ -11,8 +11,9 @@ shard hands back at most k rows a query. Leaves are visited for many queries at
 exact: in doubles below 2 ** 53, else in 64-bit integers.
 
 Null vectors and such that hold null or non-finite components take no part, nor do null ids. Queries meet vectors of
-their own length only. Rows that repeat an id are not each other's candidates; of equal scores the smaller id is
-first. Empty tables: no rows. Other columns are ignored.
+their own length only. Repeated rows, and rows that repeat an id: each is a candidate of its own and, if asked, a query
+of its own, and the k best of all that the rows of a query id meet are ranked, as a join of the rows would; they are not
+each other's candidates. Of equal scores the smaller id is first. Empty tables: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -181,7 +182,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, vec
     rest = armed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("other <> shard").select("dim", F.col("other").alias("shard"), "ids", "q", "kth")
     away = rest.join(trees, ["dim", "shard"]).select("dim", "ids", "q", "kth", "tree").mapInArrow(_search(k), out)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    every_hit = at_home.select("query_id", "vec_id", "score").unionByName(away).distinct()
+    every_hit = at_home.select("query_id", "vec_id", "score").unionByName(away)  # a candidate row is in one shard, so none is met twice
     return every_hit.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -391,6 +391,22 @@ def test_op8(spark, folder, monkeypatch):
     same([tuple(r) for r in queries.op8_kdtree(spark, folder).collect()], brute_top(vectors))
 
 
+def test_op8_counts_repeated_rows(spark, monkeypatch):
+    rnd = random.Random(2)
+    vectors = [(i, [rnd.uniform(-1, 1) for _ in range(4)]) for i in range(200)]
+    vectors += vectors + vectors[:50] + [(40, [0.9, -0.9, 0.5, 0.5]), (41, [0.9, -0.9, 0.5, 0.5])]
+    ints = [(i, [math.floor(64 * x) for x in v]) for i, v in vectors]
+    want = []
+    for q in range(0, 200, 20):
+        met = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), c) for i, a in ints if i == q for c, b in ints if c != q)[:20]
+        want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(met)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    same([tuple(r) for r in kdtree.top_k(df).collect()], want)
+    monkeypatch.setattr(kdtree, "SHARD", 60)
+    monkeypatch.setattr(kdtree, "BLOCK", 5)
+    same([tuple(r) for r in kdtree.top_k(df).collect()], want)
+
+
 def test_kdtree_prunes_exactly():
     import numpy as np
 
