@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, kdtree, license, mix, pack, pii, ppm, simhash, suffix, warc
+from . import fertility, kdtree, license, mix, pack, pii, ppm, simhash, similar, suffix, warc
 from .common import documents, materialize
 
 
@@ -87,10 +87,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of op1 (its width and radius); the pipeline has drop_similar_texts instead."""
     return simhash.keep_one(docs)
 
 
+def drop_similar_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return similar.keep_one(docs)
+
+
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data replaced by their kind; n_chars follows the text."""
     return pii.redact(docs).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
@@ -108,7 +113,7 @@ def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable]] = [
     ("quality rules", keep_quality),
-    ("simhash near-dedup", drop_near_copies),
+    ("simhash near-dedup", drop_similar_texts),
     ("personal data", mask_personal_data),
     ("mixing sources", mix_sources),
     ("packing", pack_tokens),

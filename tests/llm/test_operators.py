@@ -138,6 +138,45 @@ def test_ball_hashing_finds_every_pair(spark):
     assert classes(found) == classes((a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 3)
 
 
+def test_pipeline_drops_texts_of_similar_shingles(spark, tmp_path):
+    """Every pair of 0.8 that a plain search finds is in one class, and no class holds texts that no chain of pairs joins."""
+    from tessera.llm import similar
+
+    stage = dict(queries.STAGES)["simhash near-dedup"]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    extra = [words, [w + ("x" if i == 150 else "") for i, w in enumerate(words)], [w + ("x" if i in (20, 80, 140, 200, 260) else "") for i, w in enumerate(words)], rnd.sample(words, 300)]
+    docs = docs.unionByName(spark.createDataFrame([(900_000 + i, " ".join(x)) for i, x in enumerate(extra)] + [(900_010, None), (900_011, ""), (None, "w1 w2")], "doc_id long, text string"), allowMissingColumns=True)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect() if r.doc_id is not None]
+    sets = []
+    for _, text in rows:
+        w = WORD.findall(lower(text or ""))
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    same_set, index = {}, {}
+    for i, s in enumerate(sets):
+        up[root(i)] = root(same_set.setdefault(s, i))
+        if same_set[s] == i:
+            for x in s:
+                index.setdefault(x, []).append(i)
+    for i in same_set.values():
+        for j, n in Counter(j for x in sets[i] for j in index[x] if j < i).items():
+            if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+                up[root(i)] = root(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), doc), doc)
+    same([tuple(r) for r in similar.classes(docs).collect()], [(doc, least[root(i)]) for i, (doc, _) in enumerate(rows)])
+    assert Counter(r.doc_id for r in stage(spark, docs, str(tmp_path)).collect()) == Counter([*least.values(), None])
+
+
 def test_op2(spark, folder, rows):
     want = []
     for doc, text, *_ in rows:
