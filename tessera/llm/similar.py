@@ -10,8 +10,7 @@ fingerprint emits the group's value with none or one bit flipped: GROUPS * (1 +
 differing bits in some group meet in one of its variants. What meets within APART bits is a candidate; its sets are compared.
 So a link can be missed (its bits lie badly), and none is made that the sets do not bear out.
 
-A text that meets many others within APART bits, as in a large group of near copies, is compared in each bucket with the
-NEAREST of those that precede it there, by differing bits: links are a forest's worth, not all pairs.
+All candidates are compared: none is left out of a large group of near copies, whose pairs may grow with its square.
 
 Sets are named by a 64-bit hash of their shingles, so exact copies are merged before. Rows without an id take no part
 and stay. Empty table: no rows.
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import has_columns, map_text, materialize
 from .graph import components
 
-WIDTH, LIMIT, GROUPS, BITS, APART, NEAREST, SMALL = 5, 0.8, 7, 18, 28, 8, 256
+WIDTH, LIMIT, GROUPS, BITS, APART, SMALL = 5, 0.8, 7, 18, 28, 256
 KEEP = np.uint64((1 << 63) - 1)  # 63 bits of each half
 
 
@@ -65,39 +64,23 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["variant", "name", "a", "b"])
 
 
-def _nearest(left: np.ndarray, right: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Places of each right's NEAREST lefts."""
-    order = np.lexsort((left, bits, right))
-    r = right[order]
-    first = np.flatnonzero(np.append(True, r[1:] != r[:-1])[: len(r)])
-    nth = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r))))
-    return order[nth < NEAREST]
-
-
 def near(key: np.ndarray, name: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(n, 2) names of candidates among rows sorted by key: each row with the NEAREST preceding ones within APART bits."""
+    """(n, 2) names of candidates among rows sorted by key: those of one key within APART bits."""
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
     size = np.diff(np.append(starts, len(key)))
     left, right = [], []
     at = np.flatnonzero(np.repeat(size, size) <= SMALL)
-    found: list[list[np.ndarray]] = [[], [], []]
     step = 1
     while len(at := at[at + step < len(key)]) and len(at := at[key[at] == key[at + step]]):
         d = np.bitwise_count(a[at] ^ a[at + step]) + np.bitwise_count(b[at] ^ b[at + step])
         ok = d <= APART
-        for to, x in zip(found, (at[ok], at[ok] + step, d[ok]), strict=True):
-            to.append(x)
+        left.append(at[ok])
+        right.append(at[ok] + step)
         step += 1
-    if found[0]:
-        x, y, d = map(np.concatenate, found)
-        best = _nearest(x, y, d)
-        left.append(x[best])
-        right.append(y[best])
     for s, n in zip(starts[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-        for k in range(s + 1, s + n):  # a row at a time, so that memory follows the bucket and not its square
+        for k in range(s + 1, s + n):  # a row at a time, so that memory follows the bucket and its candidates
             d = np.bitwise_count(a[s:k] ^ a[k]) + np.bitwise_count(b[s:k] ^ b[k])
-            x = np.flatnonzero(d <= APART)
-            x = x[np.argsort(d[x], kind="stable")[:NEAREST]] + s
+            x = np.flatnonzero(d <= APART) + s
             left.append(x)
             right.append(np.full(len(x), k))
     if not left:
