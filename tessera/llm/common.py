@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +85,47 @@ def text_rows(batches: Iterator[pa.RecordBatch], at: int = 1) -> Iterator[tuple[
             yield part, [x or b"" for x in part.column(at).cast(pa.binary()).to_pylist()]
 
 
+def byte_slices(batches: Iterator[pa.RecordBatch], most: int, at: int = 1) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of about `most` bytes of text in column `at`; a longer text is one by itself."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        k = 0
+        while k < batch.num_rows:
+            end = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + most, "right")))
+            yield batch.slice(k, end - k)
+            k = end
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A column of texts as its UTF-8 bytes, one text after the other, and where each ends (null: empty)."""
+    column = pc.fill_null(column.cast(pa.binary()), b"")
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None and bounds[-1] else np.zeros(0, np.uint8)
+    return data, bounds[1:] - bounds[0]
+
+
+_kept: dict[str, tuple[object, object]] = {}
+
+
+def kept(owner: str, key: object, make: Callable[[], object]) -> object:
+    """What a worker keeps between tasks for one operator, made anew for another key. Workers serve all operators in
+    turn, so what others left behind goes first: a worker never holds the tables of two."""
+    for other in [o for o in _kept if o != owner]:
+        del _kept[other]
+    if owner not in _kept or _kept[owner][0] != key:
+        _kept.pop(owner, None)
+        _kept[owner] = (key, make())
+    return _kept[owner][1]
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system, which idle workers would otherwise hold on to."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def decode(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
@@ -105,6 +149,7 @@ def map_text(df: DataFrame, keys: list[str], text: str, out: str, each: Callable
             made = list(zip(*map(each, texts), strict=True)) or [[] for _ in new]
             cols = [part.column(i) for i in range(len(keys))] + [pa.array(v, f.type) for v, f in zip(made, new, strict=True)]
             yield pa.RecordBatch.from_arrays(cols, names=[*keys, *new.names])
+        give_back()
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), out])
     return df.select(*keys, F.col(text).cast("string").alias("_text")).mapInArrow(run, ddl)
