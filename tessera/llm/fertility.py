@@ -21,7 +21,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import decode, has_columns, map_text
+from .common import decode, has_columns, kept, map_text
 
 #: Bands by language code, then by script: least and most chars_per_token, most
 #: fallback_share, least token_entropy. "*" holds for what is not listed. The least values of en, de, fr and es are
@@ -66,16 +66,13 @@ SCRIPTS = [
 SYMBOLS = b"#*$%&|<>"
 
 #: Words whose pieces a worker keeps; a full cache starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 
 OUT = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars_per_token double, "
     "fallback_share double, token_entropy double, script string, base_failed boolean, kept boolean"
 )
 
-_measures: dict[tuple[str, str], "Measure"] = {}
-
-
 class Measure(dict):
     """word -> its byte-level token ids as little-endian int32, filled on demand."""
 
@@ -107,10 +104,7 @@ class Measure(dict):
 
 
 def measure(ranks_path: str, pieces_path: str) -> Measure:
-    key = (ranks_path, pieces_path)
-    if key not in _measures:
-        _measures[key] = Measure(*key)
-    return _measures[key]
+    return kept("fertility", (ranks_path, pieces_path), lambda: Measure(ranks_path, pieces_path))
 
 
 def repeat_words(words: list) -> int:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_type, byte_slices, decode, flat, give_back, has_columns, kept, materialize
 
-LENGTH, END, CACHE_WORDS, SLICE_BYTES = 2048, 1, 600_000, 4 << 20
+LENGTH, END, CACHE_WORDS, SLICE_BYTES = 2048, 1, 500_000, 2 << 20
 
 OUT = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
