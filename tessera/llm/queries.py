@@ -42,7 +42,7 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix.remove_repeats(documents(spark, sf_dir), texts=False)
 
 
 def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,12 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_type, has_columns, materialize, text_rows
+from .common import arrow_type, give_back, has_columns, materialize, text_rows
 
 MATCH, GRAM = 100, 32
 NONE = (1 << 63) - 1  #: stands for a null id
-PIECE = 1 << 20  #: bytes of a document that are hashed at once
-CHUNK = 200_000  #: contexts that are merged within a task
+PIECE = 1 << 18  #: bytes of a document that are hashed at once
+CHUNK = 100_000  #: contexts that are merged within a task
+STRETCHES = 20_000  #: removed stretches that are held before they are handed on
 SHARD = 1 << 14  #: bytes of a batch of groups
 
 _A = 0x9E3779B97F4A7C15
@@ -234,6 +235,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield take()
     if found:
         yield take()
+    give_back()
 
 
 def _not_first(same: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -273,6 +275,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [c[cut:].copy() for c in cols]
     if rest is not None:
         yield close(rest)
+    give_back()
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -348,12 +351,13 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if held and held[0][0] != row[0]:
                 size += add(held)
                 held = []
-                if size >= SHARD or len(gone) >= CHUNK:
+                if size >= SHARD or len(gone) >= STRETCHES:
                     yield close()
                     size = 0
             held.append(row)
     add(held)
     yield close()
+    give_back()
 
 
 def removed_windows(docs: DataFrame) -> DataFrame:
@@ -380,30 +384,35 @@ def stretches(windows: list[tuple[int, int]], match: int = MATCH) -> list[tuple[
     return out
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary and spans array<struct<start,end>>, a row for each
-    row of docs."""
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if texts are wanted, kept binary and spans
+    array<struct<start,end>>, a row for each row of docs. Ids are whole numbers."""
     has_columns(docs, doc_id, text)
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{doc_id} is {kind}, not a whole number")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NONE)).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     gone = removed_windows(rows).groupBy("doc", "tag").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
     named = rows.withColumn("tag", F.xxhash64("text")).join(gone, ["doc", "tag"], "left").select("doc_id", "text", "first", "last")
-    out = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>"
+    out = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    out += ", kept binary, spans array<struct<start:long,end:long>>" if texts else ""
     target = arrow_type(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_rows(batches):
-            cols: list[list] = [[] for _ in range(6)]
-            for raw, first, last in zip(texts, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+        for part, texts_of in text_rows(batches):
+            cols: list[list] = [[] for _ in list(target)[1:]]
+            for raw, first, last in zip(texts_of, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                 spans = stretches(list(zip(first or [], last or [], strict=True)))
-                kept, at = [], 0
-                for a, b in spans:
-                    kept.append(raw[at:a])
+                kept, at, digest = [], 0, hashlib.sha256()
+                for a, b in [*spans, (len(raw), len(raw))]:
+                    digest.update(raw[at:a])
+                    if texts:
+                        kept.append(raw[at:a])
                     at = b
-                data = b"".join([*kept, raw[at:]])
-                row = len(raw), len(raw) - len(data), len(spans), hashlib.sha256(data).hexdigest(), data, [{"start": a, "end": b} for a, b in spans]
-                for col, v in zip(cols, row, strict=True):
+                row = len(raw), sum(b - a for a, b in spans), len(spans), digest.hexdigest(), b"".join(kept), [{"start": a, "end": b} for a, b in spans]
+                for col, v in zip(cols, row, strict=False):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, f.type) for v, f in zip(cols, list(target)[1:], strict=True))], names=target.names)
+        give_back()
 
     return named.mapInArrow(run, out)
