@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of a text: runs of bytes other than space and TAB..CR.
@@ -152,7 +152,7 @@ def map_text(df: DataFrame, keys: list[str], text: str, out: str, each: Callable
         give_back()
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), out])
-    return df.select(*keys, F.col(text).cast("string").alias("_text")).mapInArrow(run, ddl)
+    return df.select(*keys, column(text).cast("string").alias("_text")).mapInArrow(run, ddl)
 
 
 def has_columns(df: DataFrame, *names: str) -> None:
@@ -161,6 +161,31 @@ def has_columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def column(name: str) -> Column:
+    """A column by its very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def shielded(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ... in order, so that none clashes with an operator's own."""
+    return df.select(*(column(n).alias(f"c{i}") for i, n in enumerate(df.columns)))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns; maps, which Spark does not hash, by their JSON."""
+    return F.xxhash64(*(F.to_json(F.struct(column(f.name))) if "map<" in f.dataType.simpleString() else column(f.name) for f in df.schema))
+
+
+def one_per_id(docs: DataFrame, doc_id: str, stay: DataFrame) -> DataFrame:
+    """The rows of docs whose id is in stay (a column `id`); of rows that repeat an id one, and all rows without an id.
+    Other columns are kept whatever their names and types."""
+    inner = shielded(docs)
+    key = f"c{docs.columns.index(doc_id)}"
+    first = Window.partitionBy(key).orderBy(row_hash(inner))
+    kept = inner.join(stay.select(F.col("id").alias(key)).distinct(), key, "left_semi").withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")
+    return kept.unionByName(inner.filter(F.col(key).isNull())).toDF(*docs.columns)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

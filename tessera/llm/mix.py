@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, arrow_type, has_columns, materialize
+from .common import WORD, arrow_type, column, give_back, has_columns, materialize, row_hash, shielded
 
 WEIGHTS, SHARE, MOST, BLOCK, SHARD, SEED = (5, 2, 1), 1.5, 2.0, 64, 1 << 17, 17
 
@@ -46,9 +46,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """doc_id, size, source_size, target, taken, and where in the document the last, partial round falls: rounds long
     and the shard's block arithmetic (start, phase, rest, blocks) that `taken_before` reads."""
     has_columns(docs, doc_id, text, source)
-    size = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    size = F.coalesce(F.regexp_count(column(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     rows = materialize(
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size")).withColumn("mark", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))),
+        docs.select(column(doc_id).alias("doc_id"), column(source).cast("string").alias("source"), size.alias("size")).withColumn("mark", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))),
         "sizes",
     )
     per = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), **how)
@@ -94,21 +94,20 @@ def chosen_words(start: int, size: int, phase: int, rest: int, blocks: int, bloc
 
 def taken_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix as documents: a row of docs for each whole round, and one for each stretch of the partial round (its text
-    cut at words, n_chars following it if there is such a column). Documents without words are not taken."""
-    from pyspark.sql.types import StructType
-
-    names, schema = docs.columns, docs.schema
+    cut at words, n_chars following it if there is such a column). Documents without words are not taken. Other columns
+    are kept whatever their names and types."""
     plan = mix(docs, doc_id, text, source)
+    inner = shielded(docs)
+    names = inner.columns
+    key, body = (f"c{docs.columns.index(n)}" for n in (doc_id, text))
     # equal ids share a mark, so rows that repeat one are matched by their size as well
-    keyed = docs.withColumn("_size", F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long"))
-    per = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_of"), "taken", "rounds", "start", "phase", "rest", "blocks")
-    twin = Window.partitionBy("_id", "_of").orderBy("start")
-    per = per.withColumn("_nth", F.row_number().over(twin))
-    keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy(doc_id, "_size").orderBy(F.xxhash64(*names))))
-    joined = keyed.join(per, keyed[doc_id].eqNullSafe(per["_id"]) & (keyed["_size"] == per["_of"]) & (keyed["_nth"] == per["_nth"])).filter("taken > 0")
-    joined = joined.select(*names, "rounds", "start", "_size", "phase", "rest", "blocks")
-    at, chars = names.index(text), names.index("n_chars") if "n_chars" in names else -1
-    target = arrow_type(StructType(schema.fields))
+    keyed = inner.withColumn("of", F.coalesce(F.regexp_count(F.col(body).cast("string"), F.lit(WORD)), F.lit(0)).cast("long"))
+    keyed = keyed.withColumn("nth", F.row_number().over(Window.partitionBy(key, "of").orderBy(row_hash(inner))))
+    per = plan.select("doc_id", "size", "taken", "rounds", "start", "phase", "rest", "blocks").withColumn("twin", F.row_number().over(Window.partitionBy("doc_id", "size").orderBy("start")))
+    joined = keyed.join(per, F.col(key).eqNullSafe(per["doc_id"]) & (keyed["of"] == per["size"]) & (keyed["nth"] == per["twin"])).filter("taken > 0")
+    joined = joined.select(*names, "rounds", "start", "size", "phase", "rest", "blocks")
+    at, chars = docs.columns.index(text), docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
+    target = arrow_type(inner.schema)
     word = re.compile(WORD)
 
     def run(batches):
@@ -117,26 +116,27 @@ def taken_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
                 part = batch.slice(k, 64)
                 rows, texts = [], []
                 numbers = [part.column(len(names) + i).to_pylist() for i in range(6)]
-                for i, (body, rounds, start, size, phase, rest, blocks) in enumerate(zip(part.column(at).to_pylist(), *numbers, strict=True)):
+                for i, (whole, rounds, start, size, phase, rest, blocks) in enumerate(zip(part.column(at).to_pylist(), *numbers, strict=True)):
                     rows += [i] * rounds
-                    texts += [body] * rounds
+                    texts += [whole] * rounds
                     cuts = chosen_words(start, size, phase, rest, blocks)
                     if cuts == [(0, size)]:
                         rows.append(i)
-                        texts.append(body)
+                        texts.append(whole)
                     elif cuts:
-                        spans = [m.span() for m in word.finditer(body)]
+                        spans = [m.span() for m in word.finditer(whole)]
                         for a, b in cuts:
                             rows.append(i)
-                            texts.append(body[spans[a][0] : spans[b - 1][1]])
+                            texts.append(whole[spans[a][0] : spans[b - 1][1]])
                 take = pa.array(rows, pa.int64())
                 cols = [part.column(c).take(take) for c in range(len(names))]
                 cols[at] = pa.array(texts, target.field(at).type)
                 if chars >= 0:
                     cols[chars] = pa.array(list(map(len, texts)), target.field(chars).type)
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        give_back()
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, inner.schema).toDF(*docs.columns)
 
 
 #: The same in SQL, for DuckDB.

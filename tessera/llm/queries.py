@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fertility, kdtree, license, mix, pack, pii, ppm, simhash, similar, suffix, warc
-from .common import documents, materialize
+from .common import column, discard, documents, materialize, shielded
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,18 +72,21 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = materialize(warc.archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")), "archives")
-    return warc.read_archives(written.repartition("archive")).drop("payload")
+    return warc.read_archives(written).drop("payload")
 
 
-# Stages of the pipeline: documents in, documents out (but for the last).
+# Stages of the pipeline: documents in, documents out (but for the last). Documents have at least doc_id, text and source;
+# columns beyond these are kept as they are, whatever their names and types. No rows in: no rows out.
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
-    names = docs.columns
-    carried = docs.select(F.col("text"), F.col("lang"), F.struct(*names).alias("row"))
-    judged = fertility.quality(carried, ["row"])
-    return judged.filter("kept").select("row.*")
+    """Documents that pass the quality rules. Null and empty texts fail them; rows that repeat one another are judged
+    alike, each for itself; a text of any length is judged whole. Without a column `lang`, bands go by script."""
+    inner = shielded(docs)
+    named = {n: f"c{i}" for i, n in enumerate(docs.columns)}
+    lang = column(named["lang"]).cast("string") if "lang" in named else F.lit(None).cast("string")
+    carried = inner.select(F.col(named["text"]).alias("text"), lang.alias("lang"), F.struct(*inner.columns).alias("row"))
+    return fertility.quality(carried, ["row"]).filter("kept").select("row.*").toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -92,22 +95,28 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_similar_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    """One document, that of the least id, of each class of texts whose five-word shingles have a Jaccard similarity of 0.8
+    or more. Of rows that repeat an id one stays; rows without an id stay; texts without words are one class. Texts of
+    any length are compared whole."""
     return similar.keep_one(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data replaced by their kind; n_chars follows the text."""
-    return pii.redact(docs).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
+    """Spans of personal data replaced by their kind; n_chars, if there is such a column, follows the text. A row for each
+    row; null texts stay null."""
+    out = pii.redact(docs)
+    return out.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else out
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as whole rounds take it, and the words of it that the last, partial round takes."""
+    """Every document as often as whole rounds take it, and the words of it that the last, partial round takes. Documents
+    without words are not taken; null sources are one source; null ids and repeated rows count like any other."""
     return mix.taken_texts(docs)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, with their ids."""
+    """Pieces of token sequences, with their ids. Null and empty texts give the end token only; repeated rows and null ids
+    are packed like any other; a text of any length is cut into as many pieces as it needs."""
     return pack.pack(docs)
 
 
@@ -121,9 +130,13 @@ STAGES: list[tuple[str, Callable]] = [
 
 
 def run_stages(spark: SparkSession, sf_dir: str, stages: list[tuple[str, Callable]] | None = None) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The stages in turn, each written to the shared store and read back; what a stage read goes once it is written."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in stages or STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
 
 

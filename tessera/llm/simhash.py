@@ -24,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import has_columns, map_text, materialize
+from .common import column, has_columns, map_text, materialize, one_per_id
 from .graph import components
 
 RADIUS, BLOCKS, BITS, SEED = 3, 4, 64, 42
@@ -190,7 +190,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """doc_id, fp and component_id (the least id of the row's class), a row for each row of docs."""
-    marked = materialize(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], width=width), "fingerprints")
+    marked = materialize(fingerprints(docs.select(column(doc_id).alias("doc_id"), column(text).alias("text")), ["doc_id"], width=width), "fingerprints")
     least = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = components(links(least))
     named = least.join(found, least.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
@@ -203,8 +203,4 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     """The rows of docs that stay when one document of each class does: the one of the least id. Of rows that repeat
     it, one stays; rows of a class without ids stay."""
     found = classes(docs, doc_id, text, width)
-    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    names = docs.columns
-    one = Window.partitionBy(doc_id).orderBy(*(F.xxhash64(n) for n in names))
-    kept = docs.join(stay, doc_id, "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1")
-    return kept.select(*names).unionByName(docs.filter(F.col(doc_id).isNull()))
+    return one_per_id(docs, doc_id, found.filter("doc_id = component_id").select(F.col("doc_id").alias("id")))

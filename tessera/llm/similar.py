@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import has_columns, map_text, materialize
+from .common import column, has_columns, map_text, materialize, one_per_id
 from .graph import components
 
 WIDTH, LIMIT, GROUPS, BITS, APART, SMALL = 5, 0.8, 7, 18, 28, 256
@@ -136,7 +136,7 @@ def _sets(marked: DataFrame, plain: DataFrame, pairs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and component_id (the least id of the row's class), a row for each row of docs that has an id."""
     has_columns(docs, doc_id, text)
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id IS NOT NULL")
+    plain = docs.select(column(doc_id).alias("doc_id"), column(text).cast("string").alias("text")).filter("doc_id IS NOT NULL")
     marked = materialize(map_text(plain, ["doc_id"], "text", "name long, a long, b long", marks), "marks")
     sets = materialize(marked.groupBy("name").agg(F.min("doc_id").alias("least"), F.min("a").alias("a"), F.min("b").alias("b")), "names")
     variants = sets.select("name", "a", "b").mapInArrow(_variants, "variant int, name long, a long, b long")
@@ -154,8 +154,4 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """The rows of docs that stay when one document of each class does: the one of the least id. Of rows that repeat
     it, one stays; rows without an id stay."""
     found = classes(docs, doc_id, text)
-    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    names = docs.columns
-    one = Window.partitionBy(doc_id).orderBy(*(F.xxhash64(n) for n in names))
-    kept = docs.join(stay, doc_id, "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1")
-    return kept.select(*names).unionByName(docs.filter(F.col(doc_id).isNull()))
+    return one_per_id(docs, doc_id, found.filter("doc_id = component_id").select(F.col("doc_id").alias("id")))

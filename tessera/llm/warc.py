@@ -30,6 +30,7 @@ from .common import has_columns, new_path
 
 MINIMUM, MEMBER, INDEX = 100, "archive/data.warc.gz", "indexes/index.cdxj"
 ARCHIVE_BYTES = 64 << 20  #: an archive is closed beyond that
+TASK_BYTES = 4 << 20  #: of archives for each reading task, unless one archive has more
 
 
 def record(kind: str, headers: list[tuple[str, str]], payload: bytes) -> bytes:
@@ -205,6 +206,11 @@ def archive_pages(pages: DataFrame, folder: str = "", page_id: str = "page_id",
     return typed.mapInArrow(_pack(folder or new_path(pages.sparkSession, "warc")), "archive string, bytes long, records long")
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """archive, bytes -> page_id, payload_bytes, payload_digest, record_type, refers_to and payload of each record."""
-    return archives.select("archive", "bytes").mapInArrow(_unpack, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+def read_archives(archives: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """archive, bytes -> page_id, payload_bytes, payload_digest, record_type, refers_to and payload of each record.
+
+    There are as many tasks as the archives' bytes ask for, dealt by number, which adaptive execution does not merge
+    (rows are few and small, what they name is not)."""
+    found = archives.agg(F.count("*"), F.sum("bytes")).first()
+    tasks = max(1, min(found[0], -(-(found[1] or 0) // task_bytes)))
+    return archives.select("archive", "bytes").repartition(tasks).mapInArrow(_unpack, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")

@@ -546,3 +546,60 @@ def test_pipeline_stages(spark, folder, rows):
     classes = {r.component_id for r in queries.op1_simhash(spark, folder).collect()}
     assert Counter(r.doc_id for r in one.collect() if r.doc_id is not None) == Counter(c for c in classes if c is not None)
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+CLASHES = ["rounds", "start", "phase", "rest", "blocks", "taken", "nth", "twin", "of", "size", "row", "none", "body", "clean", "c0", "c1", "_text", "_both", "_n", "name", "component_id", "at", "pid", "n", "ids", "mark", "shard", "kept", "a.b"]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in queries.STAGES])
+def test_stages_keep_clashing_columns_and_do_without_optional_ones(spark, rows, name):
+    """Extra columns named like inner ones, a map among them, come through; no lang and n_chars; nulls and repeats."""
+    docs = spark.createDataFrame([(r[0], r[1], r[3]) for r in rows[:60] + rows[-24:]], "doc_id long, text string, source string")
+    docs = docs.select("*", *(F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).alias(c) for c in CLASHES), F.create_map(F.lit("k"), F.col("doc_id")).alias("m")).repartition(3)
+    out = dict(queries.STAGES)[name](spark, docs, "")
+    if name == "packing":
+        assert sum(r.length for r in out.collect()) > 0
+        return
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    got = out.collect()
+    assert got
+    for r in got:
+        shown = "?" if r.doc_id is None else str(r.doc_id)
+        assert all(r[c] == f"{c}:{shown}" for c in CLASHES) and r["m"] == {"k": r.doc_id}
+    plain = dict(queries.STAGES)[name](spark, docs.select("doc_id", "text", "source"), "").collect()
+    twice = rows[1][0]  # has two texts, of which near-dedup keeps one by a hash of all columns
+    same([(r.doc_id, r.text, r.source) for r in got if r.doc_id != twice], [tuple(r) for r in plain if r.doc_id != twice])
+
+
+def test_scans_are_linear():
+    import time
+
+    for text, scan in (("1" * 1_000_000, pii.scan), ("1.1 " * 250_000, pii.scan), ("a@" * 500_000, pii.scan), ("cc by " * 170_000, license.scan), ("all rights reservd " * 50_000, license.scan)):
+        began = time.process_time()
+        scan(text.encode())
+        assert time.process_time() - began < 6, text[:20]
+
+
+def test_fuzzy_spans_edits_and_scores():
+    """Substitutions, insertions and deletions: the place in words, the number of edits and the score."""
+    phrase, label, k = license.notices().notices[2]
+    for edited, edits in ((phrase, 0), (phrase.replace("apache", "apacbe"), 1), (phrase.replace("under", "undder"), 1), (phrase.replace("version", "versin"), 1), (phrase.replace("apache", "apche").replace(" license", " licence"), 2)):
+        n, _, hits = license.scan(f"lorem ipsum dolor {edited} sit amet".encode())
+        best = [h for h in hits if h["label"] == label]
+        assert best and best[0]["errors"] == edits <= k
+        assert best[0]["score"] == pytest.approx(1 - edits / len(phrase))
+        assert (best[0]["first"], best[0]["last"]) == (3, n - 3)
+
+
+def test_archives_are_read_by_as_many_tasks_as_their_bytes_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4000)
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.sha2(F.col("id").cast("string"), 512).alias("html")).repartition(2)
+    written = warc.archive_pages(pages).cache()
+    assert written.count() > 8
+    read = warc.read_archives(written, task_bytes=8000)
+    assert read.select(F.spark_partition_id()).distinct().count() > 3 and read.count() == 400
+    data = b"".join(warc.zip_bytes([("x", [b"1"])]))
+    bad = bytearray(data)
+    bad[data.find(b"PK\1\2") + 10] = 8  # deflated
+    with pytest.raises(ValueError, match="not stored"):
+        warc.zip_members(len(bad), lambda a, n: bytes(bad[a : a + n]))
