@@ -10,7 +10,9 @@ fingerprint emits the group's value with none or one bit flipped: GROUPS * (1 +
 differing bits in some group meet in one of its variants. What meets within APART bits is a candidate; its sets are compared.
 So a link can be missed (its bits lie badly), and none is made that the sets do not bear out.
 
-All candidates are compared: none is left out of a large group of near copies, whose pairs may grow with its square.
+Classes need a spanning set of links only. So of a bucket's candidates each text is first compared with two: the first one
+before it and the nearest. What that links makes groups, and then all candidates of different groups are compared, none
+left out. A large group of near copies is one group by then, and its pairs are never made.
 
 Sets are named by a 64-bit hash of their shingles, so exact copies are merged before. Rows without an id take no part
 and stay. Empty table: no rows.
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, has_columns, map_text, materialize, one_per_id
+from .common import column, give_back, has_columns, map_text, materialize, one_per_id
 from .graph import components
 
 WIDTH, LIMIT, GROUPS, BITS, APART, SMALL = 5, 0.8, 7, 18, 28, 256
@@ -64,46 +66,78 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["variant", "name", "a", "b"])
 
 
-def near(key: np.ndarray, name: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(n, 2) names of candidates among rows sorted by key: those of one key within APART bits."""
+def candidates(key: np.ndarray, a: np.ndarray, b: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places (i, j), i < j, and distances of rows of one key within APART bits and in different groups; rows are sorted by
+    key. In parts, all pairs of a j in one part."""
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
     size = np.diff(np.append(starts, len(key)))
-    left, right = [], []
+    left, right, apart = [], [], []
     at = np.flatnonzero(np.repeat(size, size) <= SMALL)
     step = 1
     while len(at := at[at + step < len(key)]) and len(at := at[key[at] == key[at + step]]):
         d = np.bitwise_count(a[at] ^ a[at + step]) + np.bitwise_count(b[at] ^ b[at + step])
-        ok = d <= APART
+        ok = (d <= APART) & (group[at] != group[at + step])
         left.append(at[ok])
         right.append(at[ok] + step)
+        apart.append(d[ok])
         step += 1
+    if left:
+        yield np.concatenate(left), np.concatenate(right), np.concatenate(apart)
     for s, n in zip(starts[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-        for k in range(s + 1, s + n):  # a row at a time, so that memory follows the bucket and its candidates
+        for k in range(s + 1, s + n):  # a row at a time, so that memory follows the bucket
             d = np.bitwise_count(a[s:k] ^ a[k]) + np.bitwise_count(b[s:k] ^ b[k])
-            x = np.flatnonzero(d <= APART) + s
-            left.append(x)
-            right.append(np.full(len(x), k))
-    if not left:
-        return np.zeros((0, 2), np.int64)
-    x, y = name[np.concatenate(left)], name[np.concatenate(right)]
-    return np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+            i = np.flatnonzero((d <= APART) & (group[s:k] != group[k]))
+            if len(i):
+                yield i + s, np.full(len(i), k), d[i]
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by variant, then name -> candidates."""
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first of them, cut between its values."""
     rest: list[np.ndarray] = []
     for batch in batches:
-        cols = [batch.column(i).to_numpy() for i in range(4)]
+        cols = [c.to_numpy() for c in batch.columns]
         rest = [np.concatenate(x) for x in zip(rest, cols, strict=True)] if rest else cols
         if not len(rest[0]):
             continue
         cut = int(np.searchsorted(rest[0], rest[0][-1]))  # the last bucket may go on
-        pairs = near(*(x[:cut] for x in rest))
+        if cut:
+            yield [x[:cut] for x in rest]
         rest = [x[cut:].copy() for x in rest]
+    if rest and len(rest[0]):
+        yield rest
+
+
+def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """variant, name, a, b -> those that have a candidate in their bucket, with the first one before them and the nearest."""
+    for cols in _whole_buckets(batches):
+        key, name, a, b = cols
+        first, near = np.full(len(key), -1), np.full(len(key), -1)
+        live = np.zeros(len(key), bool)
+        for i, j, d in candidates(key, a, b, name):
+            if not len(i):
+                continue
+            live[i] = live[j] = True
+            order = np.lexsort((i, j))
+            head = order[np.append(True, j[order][1:] != j[order][:-1])]
+            first[j[head]] = i[head]
+            order = np.lexsort((i, d, j))
+            head = order[np.append(True, j[order][1:] != j[order][:-1])]
+            near[j[head]] = i[head]
+        at = np.flatnonzero(live)
+        picks = [pa.array(name[np.maximum(x[at], 0)], mask=x[at] < 0) for x in (first, near)]
+        yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in cols] + picks, names=["variant", "name", "a", "b", "first", "near"])
+    give_back()
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """variant, name, a, b, component -> all candidates of different components."""
+    for key, name, a, b, component in _whole_buckets(batches):
+        found = [np.zeros((0, 2), np.int64)]
+        for i, j, _ in candidates(key, a, b, component):
+            found.append(np.stack([np.minimum(name[i], name[j]), np.maximum(name[i], name[j])], 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["x", "y"])
-    if rest:
-        pairs = near(*rest)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["x", "y"])
+    give_back()
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +154,8 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], names=["a", "b"])
 
 
-def _sets(marked: DataFrame, plain: DataFrame, pairs: DataFrame) -> DataFrame:
-    """name and found (its shingles' 32-bit hashes, sorted) of the sets in pairs, each from a text that has it."""
-    used = pairs.select(F.explode(F.array("x", "y")).alias("name")).distinct()
+def _sets(marked: DataFrame, plain: DataFrame, used: DataFrame) -> DataFrame:
+    """name and found (its shingles' 32-bit hashes, sorted) of the sets that are used, each from a text that has it."""
     one = marked.join(used, "name", "left_semi").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
 
     def hashes(raw: bytes) -> tuple:
@@ -141,10 +174,18 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     sets = materialize(marked.groupBy("name").agg(F.min("doc_id").alias("least"), F.min("a").alias("a"), F.min("b").alias("b")), "names")
     variants = sets.select("name", "a", "b").mapInArrow(_variants, "variant int, name long, a long, b long")
     met = variants.repartition("variant").sortWithinPartitions("variant", "name")
-    pairs = materialize(met.mapInArrow(_meet, "x long, y long").distinct(), "candidates")
-    found = materialize(_sets(marked, plain, pairs), "sets")
-    joined = pairs.join(found.select(F.col("name").alias("x"), F.col("found").alias("s")), "x").join(found.select(F.col("name").alias("y"), F.col("found").alias("t")), "y")
-    linked = components(joined.select("x", "y", "s", "t").mapInArrow(_similar, "a long, b long"))
+    live = materialize(met.mapInArrow(_live, "variant int, name long, a long, b long, first long, near long"), "live")
+    found = materialize(_sets(marked, plain, live.select("name").distinct()), "sets")
+
+    def verified(pairs: DataFrame, step: str) -> DataFrame:
+        joined = pairs.join(found.select(F.col("name").alias("x"), F.col("found").alias("s")), "x").join(found.select(F.col("name").alias("y"), F.col("found").alias("t")), "y")
+        return materialize(joined.select("x", "y", "s", "t").mapInArrow(_similar, "a long, b long"), step)
+
+    picked = live.select("name", F.explode(F.array("first", "near")).alias("other")).filter("other IS NOT NULL")
+    some = verified(picked.select(F.least("name", "other").alias("x"), F.greatest("name", "other").alias("y")).distinct(), "picked")
+    grouped = live.drop("first", "near").join(components(some), live.name == F.col("node"), "left").select("variant", "name", "a", "b", F.coalesce("component", "name").alias("component"))
+    rest = grouped.repartition("variant").sortWithinPartitions("variant", "name").mapInArrow(_across, "x long, y long").distinct()
+    linked = components(some.unionByName(verified(rest, "across")))
     named = sets.join(linked, sets.name == linked.node, "left").select("name", "least", F.coalesce("component", "name").alias("component"))
     lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return marked.join(named.join(lowest, "component").select("name", "component_id"), "name").select("doc_id", "component_id")
