@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from tessera.functions import cross
 from tessera.functions.series import S, div, pairwise, rows
@@ -195,7 +196,7 @@ def pbo_splits(blocks: int) -> list[tuple[int, ...]]:
     return list(combinations(range(blocks), blocks // 2))
 
 
-def pbo(trials: DataFrame, blocks: int = 6) -> DataFrame:
+def pbo(trials: DataFrame, blocks: int = 16) -> DataFrame:
     """Probability of backtest overfitting by CSCV over (trial, t, ret): block moments once, recombined per split.
 
     What meets the split table is trials x blocks rows, not observations; the table holds C(blocks, blocks / 2) rows."""
@@ -250,11 +251,24 @@ def adjusted_p(p: list[float], how: str) -> list[float]:
     return out
 
 
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """df with `nth`, each row's place from 0 in the order: ranges are numbered by themselves and shifted by what the
+    ranges before them hold (a row per range reaches the driver)."""
+    held = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    before, shift = 0, []
+    for r in held.groupBy("_range").count().orderBy("_range").collect():
+        shift.append((r["_range"], before))
+        before += r["count"]
+    offsets = df.sparkSession.createDataFrame(shift, "_range int, _before long")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return held.withColumn("_place", place).join(F.broadcast(offsets), "_range").withColumn("nth", F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
+
+
 def purged_folds(spans: DataFrame, k: int, embargo: int) -> DataFrame:
     """(id, begin, finish) in row order -> (fold, id, role): test rows by contiguous blocks; train rows are those whose
     span touches neither the block's span nor the embargo after it. Folds are k rows."""
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    placed = spans.withColumn("fold", F.floor((F.row_number().over(Window.orderBy("id")) - 1) * k / n).cast("int"))
+    n = spans.count()
+    placed = numbered(spans, "id").withColumn("fold", F.floor(F.col("nth") * k / F.lit(max(1, n))).cast("int")).drop("nth")
     per = placed.groupBy("fold").agg(F.min("begin").alias("a"), F.max("finish").alias("b"))
     other = placed.withColumnRenamed("fold", "own").join(F.broadcast(per), how="cross")
     role = F.when(F.col("own") == F.col("fold"), "test").when((F.col("finish") < F.col("a")) | (F.col("begin") > F.col("b") + embargo), "train").otherwise("purged")

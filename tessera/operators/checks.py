@@ -207,3 +207,13 @@ def sage_linear(df: DataFrame, betas: dict[str, float], y: str) -> dict[str, flo
         return sum((loss[m] - loss[m | 1 << i]) / (k * math.comb(k - 1, m.bit_count())) for m in without)
 
     return {n: share(i) for i, n in enumerate(names)}
+
+
+def overfit(sr: float, n: int, skew: float, kurt: float, variance: float, trials: int, level: float = 0.95) -> tuple[float, float, float, float, bool]:
+    """Probabilistic and deflated Sharpe, least track record, Bonferroni haircut, and whether all of them hold."""
+    from .analytics import deflated_sharpe, min_track_record, probabilistic_sharpe
+
+    n, trials = int(n), int(trials)
+    psr, dsr = probabilistic_sharpe(sr, n, skew, kurt), deflated_sharpe(sr, n, skew, kurt, variance, trials)
+    length, cut = min_track_record(sr, skew, kurt), haircut(sr, n, trials)[0]
+    return psr, dsr, length, cut, bool(dsr >= level and cut * 52**0.5 >= 0.5 and length <= n)

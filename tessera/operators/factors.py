@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,19 +14,16 @@ PARAMS = {5: (20, 1, 3, 5, 3, 5), 7: (20, 1, 3, 5, 3, 7), 10: (20, 2, 3, 5, 3, 1
 
 
 def fold(df: DataFrame, value: str, alpha: float, out: str) -> DataFrame:
-    """Recursive mean y = (1 - alpha) y + alpha x per symbol, from the first non-null x; NULL before it. A symbol's
-    history is folded once, in linear time."""
-    packed = df.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("date", F.col(value).alias("x")))).alias("h"))
-
-    def step(acc: Column, v: Column) -> Column:
-        last = acc["y"]
-        y = F.when(v["x"].isNull(), last).when(last.isNull(), v["x"]).otherwise(last * F.lit(1 - alpha) + v["x"] * F.lit(alpha))
-        return F.struct(y.alias("y"), F.concat(acc["out"], F.array(F.struct(v["date"].alias("date"), y.alias(out)))).alias("out"))
-
-    kind = f"struct<y:double,out:array<struct<date:date,{out}:double>>>"
-    start = F.from_json(F.lit('{"y":null,"out":[]}'), kind)
-    done = packed.select("symbol", F.aggregate("h", start, lambda a, v: step(a, v).cast(kind), lambda a: a["out"]).alias("h"))
-    return df.join(done.select("symbol", F.inline("h")), ["symbol", "date"])
+    """Recursive mean y = (1 - alpha) y + alpha x per symbol, from the first non-null x; NULL before it. One pass over a
+    symbol's rows, which one task holds as two columns."""
+
+    def smooth(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("date")
+        return t[["symbol", "date"]].assign(y=t["x"].ewm(alpha=alpha, adjust=False, ignore_na=True).mean())
+
+    kinds = dict(df.dtypes)
+    done = df.select("symbol", "date", F.col(value).alias("x")).groupBy("symbol").applyInPandas(smooth, f"symbol {kinds['symbol']}, date {kinds['date']}, y double")
+    return df.join(done.withColumnRenamed("y", out), ["symbol", "date"])
 
 
 def mean(x, w: int) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.panel import checkpointed
+
 #: Rows of a side, counted first, up to which it is broadcast.
 BROADCAST_ROWS = 10_000
 
@@ -50,11 +52,14 @@ def nearest(left: DataFrame, right: DataFrame, on: str, by: str, values: list[st
 
 def vintages(v: DataFrame, dates: DataFrame, keys: list[str]) -> DataFrame:
     """For each as-of date the latest row of each key disclosed before it (a disclosure counts from the day after).
-    A short list of as-of dates is broadcast; the planner decides for a longer one."""
-    short = dates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    seen = v.join(F.broadcast(dates) if short else dates, F.col("disclosed") < F.col("as_of"))
-    last = Window.partitionBy("as_of", *keys).orderBy(F.col("disclosed").desc())
-    return seen.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
+
+    One shuffle by key: a key's rows and the as-of dates are put in one order, and every date takes the last row before it.
+    The dates of a key are what is asked for, so no more rows arise than the result may hold."""
+    own = v.select(*keys, F.col("disclosed").alias("_t"), F.lit(1).alias("_late"), F.struct(*v.columns).alias("_row"))
+    asked = v.select(*keys).distinct().join(dates.select(F.col("as_of").alias("_t")).distinct(), how="cross").withColumn("_late", F.lit(0))
+    order = Window.partitionBy(*keys).orderBy("_t", "_late").rowsBetween(Window.unboundedPreceding, 0)
+    seen = own.unionByName(asked, allowMissingColumns=True).withColumn("_row", F.last("_row", ignorenulls=True).over(order))
+    return seen.filter("_late = 0 and _row is not null").select(F.col("_t").alias("as_of"), "_row.*")
 
 
 def merge_sources(a: DataFrame, b: DataFrame, keys: list[str], value: str, available: str) -> DataFrame:
@@ -67,10 +72,22 @@ def merge_sources(a: DataFrame, b: DataFrame, keys: list[str], value: str, avail
     return j.select(*keys, F.when(newer_b & F.col("tb").isNotNull(), F.col("vb")).otherwise(F.col("va")).alias(value), F.greatest("ta", "tb").alias(available), origin.alias("origin"))
 
 
-def reply_depth(edges: DataFrame, node: str, parent: str, rounds: int = 64) -> DataFrame:
-    """node, root and depth of every node of a forest by pointer doubling: log2(depth) joins."""
-    now = edges.select(F.col(node).alias("node"), F.coalesce(F.col(parent), F.col(node)).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).alias("depth"))
-    for _ in range(rounds.bit_length()):
-        up = now.select(F.col("node").alias("mid"), F.col("up").alias("top"), F.col("depth").alias("more"))
-        now = now.join(up, F.col("up") == F.col("mid")).select("node", F.col("top").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+def reply_depth(edges: DataFrame, node: str, parent: str) -> DataFrame:
+    """node, root and depth of every node of a forest, by pointer doubling until nothing moves: log2(depth) joins.
+
+    A node whose parent is not in the table is a root, as one without a parent is. A cycle is refused."""
+    raw = edges.select(F.col(node).alias("node"), F.col(parent).alias("up"))
+    have = raw.select(F.col("node").alias("there")).distinct()
+    now = raw.join(have, F.col("up") == F.col("there"), "left")
+    now = checkpointed(now.select("node", F.coalesce("there", "node").alias("up"), F.when(F.col("there").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    before = now.agg(F.max("depth"), F.sum("depth"), F.count("*")).first()
+    while before[0] and before[0] < before[2]:
+        jump = now.select(F.col("node").alias("mid"), F.col("up").alias("top"), F.col("depth").alias("more"))
+        now = checkpointed(now.join(jump, F.col("up") == F.col("mid")).select("node", F.col("top").alias("up"), (F.col("depth") + F.col("more")).alias("depth")))
+        after = now.agg(F.max("depth"), F.sum("depth"), F.count("*")).first()
+        if after == before:
+            break
+        before = after
+    if before[0] and before[0] >= before[2]:  # deeper than there are nodes
+        raise ValueError("the replies form a cycle")
     return now.select("node", F.col("up").alias("root"), "depth")

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import cross, series
-from tessera.operators import analytics, factors, joins, quality, text
-from tessera.plans import extras, markets
+from tessera.operators import analytics, checks, factors, joins, quality, text
+from tessera.plans import extras, markets, studies
 from tessera.plans import oracle as O
 from tessera.sources.panel import bars, densify, industries, staged, table
 
@@ -245,7 +245,7 @@ def _joins() -> None:
 
     def chain(s, d):
         e = table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("node"), F.when(F.col("turn") > F.min("turn").over(Window.partitionBy("conv_id")), F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")) + F.col("conv_id") * 1000).alias("parent"))
-        return joins.reply_depth(e, "node", "parent")
+        return joins.reply_depth(e, "node", "parent").withColumn("depth", F.col("depth").cast("int"))
 
     add("j20_reply_chain", chain, "SELECT conv_id * 1000 + turn AS node, conv_id * 1000 + min(turn) OVER (PARTITION BY conv_id) AS root, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS depth FROM conversations")
 
@@ -307,10 +307,26 @@ def _validate() -> None:
     add("v01_sharpe_moments", lambda s, d: analytics.sharpe_stats(staged(s, d).filter("ret is not null"), "symbol").select("symbol", tidy("sr").alias("sr"), "n"), f"WITH {O.STAGED} SELECT symbol, {O.tidy('avg(ret) / nullif(stddev_samp(ret), 0)')} AS sr, count(ret) AS n FROM b WHERE ret IS NOT NULL GROUP BY symbol")
 
     def trials(s, d):
-        t = staged(s, d).filter("symbol <= 12 and ret is not null").withColumn("k", F.row_number().over(series.S()))
-        return t.select(F.col("symbol").alias("trial"), (F.col("k") % 6).cast("int").alias("block"), "ret")
-
-    add("v03_pbo", lambda s, d: analytics.pbo(trials(s, d), 6).agg(F.count("*").alias("splits"), tidy(F.avg((F.col("logit") <= 0).cast("double"))).alias("pbo")))
+        """All symbols as trials, the dates in 16 blocks of neighbours."""
+        dates = checks.date_places(staged(s, d).filter("ret is not null"))
+        blocked = dates.select("date", F.floor(F.col("place") * 16 / (F.col("place") + F.col("left") + 1)).cast("int").alias("block"))
+        return staged(s, d).filter("ret is not null").join(blocked, "date").select(F.col("symbol").alias("trial"), "block", "ret")
+
+    moments = "CASE WHEN (m >> block) & 1 = {} THEN {} END"
+    parts = ", ".join(f"sum({moments.format(side, c)}) AS {c}{side}" for side in (0, 1) for c in ("n", "a", "q"))
+    sharpe = "(a{0} / n{0}) / nullif(sqrt(greatest(0, (q{0} - a{0} * a{0} / n{0}) / (n{0} - 1))), 0)"
+    add(
+        "v03_pbo",
+        lambda s, d: analytics.pbo(trials(s, d), 16).agg(F.count("*").alias("splits"), F.round(F.avg((F.col("logit") <= 0).cast("double")), 3).alias("pbo")),
+        f"""WITH {O.STAGED}, r AS (SELECT symbol, date, ret FROM b WHERE ret IS NOT NULL),
+  p AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS place, count(*) OVER () AS many FROM (SELECT DISTINCT date FROM r)),
+  k AS (SELECT symbol, floor(place * 16 / many)::INT AS block, count(*)::DOUBLE AS n, sum(ret) AS a, sum(ret * ret) AS q FROM r JOIN p USING (date) GROUP BY ALL),
+  x AS (SELECT range AS m FROM range(65536) WHERE bit_count(range) = 8),
+  g AS (SELECT m, symbol, {parts} FROM k CROSS JOIN x GROUP BY ALL),
+  h AS (SELECT m, symbol, {sharpe.format(1)} AS inner_, {sharpe.format(0)} AS outer_ FROM g),
+  w AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY inner_ DESC NULLS LAST, symbol) AS best, rank() OVER (PARTITION BY m ORDER BY outer_ ASC NULLS FIRST) AS rk, count(*) OVER (PARTITION BY m) AS n FROM h)
+SELECT count(*) AS splits, round(avg((ln((rk / (n + 1.0::DOUBLE)) / (1 - rk / (n + 1.0::DOUBLE))) <= 0)::INT), 3) AS pbo FROM w WHERE best = 1""",
+    )
     add("v05_purged_kfold", lambda s, d: analytics.purged_folds(table(s, d, "orders").select(F.col("o_custkey").alias("c"), F.datediff("o_orderdate", F.lit("1990-01-01")).alias("begin")).groupBy("begin").agg(F.count("*").alias("n")).select(F.col("begin").alias("id"), "begin", (F.col("begin") + 10).alias("finish")), 5, 7).groupBy("fold", "role").agg(F.count("*").alias("n")), "WITH s AS (SELECT DISTINCT date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS id FROM orders), p AS (SELECT id, id AS a, id + 10 AS b, ((row_number() OVER (ORDER BY id) - 1) * 5 // count(*) OVER ())::INT AS own FROM s), f AS (SELECT own AS fold, min(a) AS lo, max(b) AS hi FROM p GROUP BY own) SELECT fold, CASE WHEN own = fold THEN 'test' WHEN b < lo OR a > hi + 7 THEN 'train' ELSE 'purged' END AS role, count(*) AS n FROM p, f GROUP BY ALL")
     add("v09_weekday", lambda s, d: analytics.newey_west_t(table(s, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(F.count("*").cast("double").alias("x")).withColumn("weekday", F.weekday("date")), "x", "weekday", "date").select("weekday", "n", tidy("mean").alias("mean"), tidy("t").alias("t")), "WITH x AS (SELECT o_orderdate::DATE AS date, count(*)::DOUBLE AS x FROM orders GROUP BY 1), e AS (SELECT date, (isodow(date) - 1)::INT AS weekday, x, x - avg(x) OVER (PARTITION BY isodow(date)) AS e FROM x), l AS (SELECT *, " + ", ".join(f"e * lag(e, {j}) OVER (PARTITION BY weekday ORDER BY date) AS g{j}" for j in range(1, 5)) + f" FROM e) SELECT weekday, count(*) AS n, {O.tidy('avg(x)')} AS mean, {O.tidy('avg(x) * count(*) / sqrt(sum(e * e) + ' + ' + '.join(f'{2 * (1 - j / 5)!r}::DOUBLE * sum(g{j})' for j in range(1, 5)) + ')')} AS t FROM l GROUP BY weekday")
     prob = "least(0.999, n_chars / 5000.0::DOUBLE)"
@@ -371,6 +387,7 @@ for _register in (_series, _factors, _cross, _evaluate, _joins, _portfolio, _val
     _register()
 markets.register(add, Q, SQL, _valued, _sql_valued())
 extras.register(add, _valued, _sql_valued())
+studies.register(add, SQL, _valued, _sql_valued())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

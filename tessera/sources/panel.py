@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +33,14 @@ def scan(spark: SparkSession, path: str, start: str | None = None, end: str | No
     require_columns(df, *OHLCV)
     if dict(df.dtypes)["date"] != "date":
         df = df.withColumn("date", F.try_to_timestamp(F.regexp_replace(F.col("date").cast("string").substr(1, 10), "-", ""), F.lit("yyyyMMdd")).cast("date"))
+    df = df.withColumn("symbol", F.upper(F.trim(F.col("symbol").cast("string"))))
     keep = F.lit(True)
     if start:
         keep &= F.col("date") >= F.to_date(F.lit(start))
     if end:
         keep &= F.col("date") <= F.to_date(F.lit(end))
     if symbols:
-        keep &= F.col("symbol").isin(*symbols)
+        keep &= F.col("symbol").isin(*(x.strip().upper() for x in symbols))
     numbers = [n for n in df.columns if n not in ("date", "symbol")]
     df = df.filter(keep).select("date", F.upper(F.col("symbol").cast("string")).alias("symbol"), *(F.expr(f"try_cast(`{n}` as double)").alias(n) for n in numbers))
     df = clean(df)
@@ -87,6 +89,17 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the folder of spark.checkpoint.dir, its lineage cut. Only a local session may name none: it gets one
+    of its own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -137,3 +150,71 @@ def densify(df: DataFrame) -> DataFrame:
 def industries(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     return s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("s_suppkey").alias("symbol"), F.col("n_name").alias("sector"))
+
+
+def synthetic_bars(spark: SparkSession, symbols: int, days: int, seed: int) -> DataFrame:
+    """Bars of any size from their index alone: business days from 2021-01-04, seeded by hashes, so reruns agree."""
+    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
+    u, v = (F.conv(F.substring(mark, at, 8), 16, 10).cast("double") / 4294967296.0 for at in (1, 9))
+    t = F.col("id") % days
+    x = spark.range(symbols * days).select(
+        F.floor(F.col("id") / days).alias("symbol"),
+        F.date_add(F.to_date(F.lit("2021-01-04")), (F.floor(t / 5) * 7 + t % 5).cast("int")).alias("date"),
+        t.alias("t"),
+        u.alias("u"),
+        v.alias("v"),
+    )
+    x = x.withColumn("close", 100 + F.col("symbol") + 10 * F.sin(F.col("t") / 10.0) + F.col("u")).withColumn("open", F.col("close") * (1 + (F.col("v") - 0.5) / 50))
+    high, low = F.greatest("open", "close") * (1 + F.col("u") / 100), F.least("open", "close") * (1 - F.col("u") / 100)
+    return x.select("symbol", "date", "open", high.alias("high"), low.alias("low"), "close", F.floor(1000 * (1 + 9 * F.col("v"))).cast("double").alias("volume"))
+
+
+class FactorStore:
+    """Factors as one table partitioned by name: reading some prunes to their folders; what is read is kept until cleared."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.held = spark, path, {}
+
+    def save(self, df: DataFrame, name: str) -> None:
+        require_columns(df, "symbol", "date", "value").select("symbol", "date", "value").write.mode("overwrite").parquet(f"{self.path}/factor={name}")
+
+    def load(self, *names: str) -> DataFrame:
+        if names not in self.held:
+            self.held[names] = self.spark.read.parquet(self.path).filter(F.col("factor").isin(*names)).persist()
+        return self.held[names]
+
+    def load_wide(self, *names: str) -> DataFrame:
+        return self.load(*names).groupBy("symbol", "date").pivot("factor", list(names)).agg(F.first("value"))
+
+    def clear(self) -> None:
+        for df in self.held.values():
+            df.unpersist()
+        self.held.clear()
+
+
+def save_run(artifacts: dict[str, DataFrame], path: str) -> DataFrame:
+    """Each artifact as Parquet in a folder of its name, then a manifest (name, row count, hash of all rows) as JSON, written
+    last: a folder with a manifest is whole."""
+    spark, lines = next(iter(artifacts.values())).sparkSession, []
+    for name, df in artifacts.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        back = spark.read.parquet(f"{path}/{name}")
+        n, h = back.agg(F.count("*"), F.sum(F.xxhash64(*back.columns).cast("decimal(38,0)"))).first()
+        lines.append((name, n, str(h)))
+    out = spark.createDataFrame(lines, "name string, n long, hash string")
+    out.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    return out
+
+
+#: Tables of a matrix database.
+MATRICES = ("open", "high", "low", "close", "volume", "amount")
+
+
+def matrix_database(spark: SparkSession, path: str, names: tuple[str, ...] = MATRICES) -> DataFrame:
+    """A folder of wide Parquet tables (date and a column per symbol), one per field, as one long panel; all must be there."""
+    out = None
+    for n in names:
+        wide = require_columns(spark.read.parquet(f"{path}/{n}.parquet"), "date")
+        long = melt(wide, ["date"]).select("date", F.col("name").alias("symbol"), F.col("value").alias(n))
+        out = long if out is None else out.join(long, ["date", "symbol"], "fullouter")
+    return out
