@@ -1,23 +1,28 @@
 """Language-model scores by prediction by partial matching over bytes, pretrained on the corpus.
 
-Text: A-Z lower-cased; words are runs of bytes but white space; a word's symbols are its bytes and a closing space,
-and the end token is the closing space of an empty word. Contexts begin anew with each word, so a word's code length
-depends on the word only and is computed once however often it occurs.
+Text: A-Z lower-cased; words are runs of bytes but white space; a text is the stream of its words, each closed by a space,
+and the end token is one more space. Two spaces stand before the first word.
 
-The trie of byte contexts has, for a symbol of a word, these orders: the whole prefix of the word (up to DEPTH bytes),
-the last two bytes, the last byte, none, and equal chances for the rest of the 256 bytes. Escapes of short contexts are estimated by
-method D: of a context with T symbol occurrences, D of them distinct, a symbol seen c times has (2 c - 1) / 2 T and the
-escape D / 2 T. Those of prefixes are estimated from the corpus (secondary estimation): each training symbol is left
-out of its node once, and how often it would have been new there is counted by classes of T and D. Symbols of the longer
-context are excluded from the shorter ones, in numerator and denominator.
+The trie of byte contexts has for every symbol three bytes before it or more, across words: a word's first symbol follows the
+last two bytes of the word before and the space, its second the last byte before, the space and the first symbol; from the
+third on the context is the space and the whole prefix of the word (up to DEPTH bytes). Below come the last two bytes, the
+last byte, none, and equal chances for the rest of the 256 bytes. Escapes are estimated by method D: of a context with T
+symbol occurrences, D of them distinct, a symbol seen c times has (2 c - 1) / 2 T and the escape D / 2 T. Those of prefixes
+from three bytes on are estimated from the corpus (secondary estimation): each training symbol is left out of its node once,
+and how often it would have been new there is counted by classes of T and D. Symbols of the longer context are excluded
+from the shorter ones, in numerator and denominator.
+
+What a word's third and later symbols cost depends on the word only and is computed once however often it occurs; its
+first two are looked up for each place.
 
 Counts come from all training texts and stay distributed: words are counted by a shuffle with sums made before it;
-prefix nodes are made in shards that hold all words with the same first three bytes. Only contexts of up to two bytes
-are brought to the driver, at most 2 ** 24 counts each whatever the corpus. To score texts, the HOT_WORDS most
-frequent words go to every executor (a fixed number); all other words are joined, so none is left out.
+prefix nodes are made in shards that hold all words with the same first three bytes. Only contexts of up to three bytes
+around a space, and of two bytes, are brought to the driver, at most 2 ** 24 counts each whatever the corpus (UTF-8 text
+has far fewer). To score texts, these and the HOT_WORDS most frequent words go to every executor (a fixed number); all
+other words are joined, so none is left out.
 
 Null text: empty (the end token only). Null id: trained on, not held out. Repeated rows: a row each, and counted as
-often as they occur. Empty table: no rows. Columns beyond id and text are ignored.
+often as they occur. Empty table: no rows. A text of any length is scored whole. Columns beyond id and text are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import has_columns, materialize, text_rows
+from .common import flat, give_back, has_columns, kept, materialize, text_rows
 
 DEPTH, HOT_WORDS, FLUSH, SHARD_WORDS = 24, 1 << 18, 400_000, 60_000
 FOLDS, HELD_OUT = 7, 2
@@ -43,27 +48,67 @@ def held_out(doc_id: object) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
+def junctions(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts (lower-cased bytes in a row, and where each ends) -> for every token, the end tokens last: its text, the two
+    bytes before the space and the first symbol as a key; for all but the end tokens, the byte before, and the first two
+    symbols."""
+    word = (data != SPACE) & ((data < 9) | (data > 13))
+    cut = np.zeros(len(data) + 1, bool)
+    cut[ends] = cut[0] = True
+    start = np.flatnonzero(word & (~np.append(False, word[:-1]) | cut[:-1]))
+    last = np.flatnonzero(word & (~np.append(word[1:], False) | cut[1:]))
+    text = np.searchsorted(ends, start, "right")
+    one = data[last].astype(np.int64)
+    two = np.where(last > start, data[np.maximum(last - 1, 0)], SPACE).astype(np.int64)
+    fresh = np.append(True, text[1:] != text[:-1])[: len(start)]  # a text's first word
+    y, x = (np.where(fresh, SPACE, np.append(SPACE, v[:-1])[: len(start)]) for v in (one, two))
+    first = data[start].astype(np.int64)
+    second = np.where(last > start, data[np.minimum(start + 1, len(data) - 1)], SPACE).astype(np.int64) if len(data) else first
+    upto = np.searchsorted(text, np.arange(len(ends)), "right") - 1  # a text's last word
+    has = upto >= 0
+    has[has] = text[upto[has]] == np.flatnonzero(has)
+    y_end, x_end = (np.where(has, v[np.maximum(upto, 0)] if len(v) else SPACE, SPACE) for v in (one, two))
+    key0 = np.concatenate([(x << 16) | (y << 8) | first, (x_end << 16) | (y_end << 8) | SPACE])
+    return np.concatenate([text, np.arange(len(ends))]), key0, (y << 16) | (first << 8) | second, text
+
+
+def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, ends = flat(column)
+    return np.frombuffer(data.tobytes().lower(), np.uint8), ends
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, text -> word, its occurrences in training texts; words of held-out texts come with 0 at least."""
+    """id, text -> kind, key, word, c: occurrences in training texts of words (kind 0; words of held-out texts come with 0 at
+    least) and of symbols behind two bytes and a space (1) or a byte, a space and a byte (2)."""
     seen: Counter = Counter()
+    met = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
 
     def take() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
+        n = len(seen)
+        out = [np.zeros(n, np.int32), np.zeros(n, np.int64), list(seen), list(seen.values())]
         seen.clear()
-        return out
+        return pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int64())], names=["kind", "key", "word", "c"])
 
     for part, texts in text_rows(batches):
-        for doc, raw in zip(part.column(0).to_pylist(), texts, strict=True):
+        train = np.array([not held_out(d) for d in part.column(0).to_pylist()], bool)
+        of0, key0, key1, of1 = junctions(*lowered(part.column(1)))
+        new = key0[train[of0]], key1[train[of1]]
+        met = [_summed(np.append(k, x), np.append(n, np.ones(len(x), np.int64))) for (k, n), x in zip(met, new, strict=True)]
+        for learn, raw in zip(train.tolist(), texts, strict=True):
             words = raw.lower().split()
             words.append(b"")
-            if held_out(doc):
+            if learn:
+                seen.update(words)
+            else:
                 for w in set(words):
                     seen.setdefault(w, 0)
-            else:
-                seen.update(words)
             if len(seen) > FLUSH:
                 yield take()
     yield take()
+    for kind, (key, n) in enumerate(met, 1):
+        none = pa.array([b""] * len(key), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), none, pa.array(n)], names=["kind", "key", "word", "c"])
+    give_back()
 
 
 def _flat(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,18 +136,20 @@ def _short_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             part = batch.slice(k, 50_000)
             words, c = part.column(0).to_pylist(), part.column(1).to_numpy()
             _, off, size, key = _flat(words)
-            k0, n0 = _summed(key, np.repeat(c, size + 1))
+            weight = np.repeat(c, size + 1)
+            weight[off] = 0  # first symbols follow other words
+            k0, n0 = _summed(key[weight > 0], weight[weight > 0])
             long = size >= 2
             k1, n1 = _summed(key[off[long] + 2], c[long])
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], [len(k0), len(k1)]).astype(np.int32)), pa.array(np.append(k0, k1)), pa.array(np.append(n0, n1))], names=["kind", "key", "n"])
 
 
 class Low:
-    """Contexts of up to two bytes, and the nodes of the first two bytes of a word."""
+    """Contexts of up to two bytes, the nodes of the first two bytes of a word, and those around a space."""
 
-    def __init__(self, key: np.ndarray, n: np.ndarray, start_key: np.ndarray, start_n: np.ndarray):
-        order = np.argsort(key)
-        self.key, self.n = key[order], n[order]
+    def __init__(self, key: np.ndarray, n: np.ndarray, start_key: np.ndarray, start_n: np.ndarray, met: list[tuple[np.ndarray, np.ndarray]]):
+        met = [(k[o], c[o]) for k, c in met for o in [np.argsort(k)]]
+        self.key, self.n = _summed(np.append(key, self.below(0, met[0][0])), np.append(n, met[0][1]))
         ctx, one, sym = self.key >> 8, (self.key >> 8) & 255, self.key & 255
         self.ctx = np.unique(ctx)
         at = np.searchsorted(self.ctx, ctx)
@@ -137,6 +184,40 @@ class Low:
         self.start_t, self.start_d = by(start_n, where, len(self.start_ctx)), by(np.ones_like(start_n), where, len(self.start_ctx))
         self.start_x = by(find(self.key, self.n, self.start_key), where, len(self.start_ctx))
 
+        self.met = []
+        for kind, (key, n) in enumerate(met):
+            ctx = np.unique(key >> 8)
+            at = np.searchsorted(ctx, key >> 8)
+            x = by(find(self.key, self.n, self.below(kind, key)), at, len(ctx))
+            self.met.append((key, n, ctx, by(n, at, len(ctx)), by(np.ones_like(n), at, len(ctx)), x))
+        self.known = [self.junction(kind, m[0]) for kind, m in enumerate(self.met)]
+
+    @staticmethod
+    def below(kind: int, key: np.ndarray) -> np.ndarray:
+        """The two bytes before a symbol and itself, for the keys of junctions."""
+        return ((key >> 8 & 255) << 16) | (SPACE << 8) | (key & 255) if kind == 0 else (SPACE << 16) | (key & 0xFFFF)
+
+    def junction(self, kind: int, key: np.ndarray) -> np.ndarray:
+        """log10 probability of symbols in three bytes of context around a space, by method D and exclusion."""
+        keys, n, ctx, ts, ds, xs = self.met[kind]
+        c, t, d, x = find(keys, n, key), find(ctx, ts, key >> 8), find(ctx, ds, key >> 8), find(ctx, xs, key >> 8)
+        low = self.below(kind, key)
+        c2, t2, d2 = find(self.key, self.n, low), find(self.ctx, self.t2, low >> 8), find(self.ctx, self.d2, low >> 8)
+        lower = self.two(low, c2, t2 - x, d2 - d, self.one(low))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(c > 0, np.log10((2 * c - 1) / (2 * t)), np.where(t > 0, np.log10(d / (2 * t)), 0.0) + lower)
+
+    def costs(self, kind: int, key: np.ndarray) -> np.ndarray:
+        """The same from what was seen in training, and computed for the rest."""
+        keys = self.met[kind][0]
+        if not len(keys):
+            return self.junction(kind, key)
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        out = self.known[kind][at]
+        new = np.flatnonzero(keys[at] != key)
+        out[new] = self.junction(kind, key[new])
+        return out
+
     def one(self, key: np.ndarray) -> np.ndarray:
         """log10 probability by order 1 and below, after an escape from the two bytes (or without such a context)."""
         ctx = key >> 8
@@ -207,7 +288,7 @@ def escapes(words: list[bytes], c: np.ndarray) -> np.ndarray:
 
 
 def code_lengths(words: list[bytes], c: np.ndarray, low: Low, see: np.ndarray) -> np.ndarray:
-    """log10 probability of each word. words: ascending, and all words with the first three bytes of any of them;
+    """log10 probability of each word's third and later symbols. words: ascending, and all words with the first three bytes of any of them;
     see: escape probability of each class of prefix nodes."""
     sym, off, size, key = _flat(words)
     c3 = find(low.key, low.n, key)
@@ -221,7 +302,10 @@ def code_lengths(words: list[bytes], c: np.ndarray, low: Low, see: np.ndarray) -
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(cs > 0, np.log10((1 - e) * (2 * cs - 1) / (2 * t - d)), np.where(t > 0, np.log10(e) + lower, plain[at])) - plain[at]
 
-    total = np.add.reduceat(plain, off)  # all symbols by short contexts; prefix nodes correct that below
+    priced = plain.copy()
+    priced[off] = 0.0
+    priced[off[size > 0] + 1] = 0.0
+    total = np.add.reduceat(priced, off)  # symbols by short contexts; prefix nodes correct that below
     act = np.flatnonzero(size >= 2)
     if len(act):
         at = off[act] + 2
@@ -272,14 +356,18 @@ def escape_table(counts: list[tuple[int, int, int]]) -> np.ndarray:
     return out
 
 
-def model(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """docs (doc_id, text) -> (word binary, c long, score double), training tokens, distinct training tokens."""
-    counted = docs.select("doc_id", "text").mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    words = materialize(counted, "words")
+def model(docs: DataFrame) -> tuple[DataFrame, int, int, Low]:
+    """docs (doc_id, text) -> (word binary, c long, score double), training tokens, distinct training tokens, and the
+    short contexts."""
+    counted = docs.select("doc_id", "text").mapInArrow(_count, "kind int, key long, word binary, c long").groupBy("kind", "key", "word").agg(F.sum("c").alias("c"))
+    counted = materialize(counted, "counted")
+    words = counted.filter("kind = 0").select("word", "c")
+    around = counted.filter("kind > 0").select("kind", "key", "c").toArrow()  # at most 2 ** 24 of either kind
+    of, at, often = (around.column(i).to_numpy() for i in range(3))
     tokens, kinds = words.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first()
     short = words.filter("c > 0").mapInArrow(_short_contexts, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()
     kind, key, n = (short.column(i).to_numpy() for i in range(3))
-    low = Low(key[kind == 0], n[kind == 0], key[kind == 1], n[kind == 1])
+    low = Low(key[kind == 0], n[kind == 0], key[kind == 1], n[kind == 1], [(at[of == k], often[of == k]) for k in (1, 2)])
     dealt = words.repartition(F.substring("word", 1, 3)).sortWithinPartitions("word")
     met = dealt.mapInArrow(_escapes, "kind int, new long, old long").groupBy("kind").agg(F.sum("new"), F.sum("old")).collect()  # CLASSES rows at most
     sent = docs.sparkSession.sparkContext.broadcast((low, escape_table([tuple(r) for r in met])))
@@ -288,21 +376,18 @@ def model(docs: DataFrame) -> tuple[DataFrame, int, int]:
         for group, c in shards(batches):
             yield pa.RecordBatch.from_arrays([pa.array(group, pa.binary()), pa.array(c), pa.array(code_lengths(group, c, *sent.value))], names=["word", "c", "score"])
 
-    return materialize(dealt.mapInArrow(score, "word binary, c long, score double"), "scored"), tokens or 0, kinds or 0
-
-
-_hot: dict[str, dict[bytes, int]] = {}
+    return materialize(dealt.mapInArrow(score, "word binary, c long, score double"), "scored"), tokens or 0, kinds or 0, low
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, a row for each row of docs."""
     has_columns(docs, doc_id, text)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    words, tokens, kinds = model(docs)
+    words, tokens, kinds, low = model(docs)
     hot = words.orderBy(F.desc("c"), "word").limit(HOT_WORDS).toArrow()
     log_all = float(np.log10(tokens + kinds + 1))
     name = uuid.uuid4().hex
-    sent = docs.sparkSession.sparkContext.broadcast((hot.column(0).to_pylist(), hot.column(1).to_numpy(), hot.column(2).to_numpy()))
+    sent = docs.sparkSession.sparkContext.broadcast((hot.column(0).to_pylist(), hot.column(1).to_numpy(), hot.column(2).to_numpy(), low))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"uid long, word binary, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, n long"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -310,16 +395,15 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        listed, c, lm = sent.value
-        if name not in _hot:
-            _hot.clear()
-            _hot[name] = {w: i for i, w in enumerate(listed)}
-        place = _hot[name]
+        listed, c, lm, low = sent.value
+        place = kept("ppm", name, lambda: {w: i for i, w in enumerate(listed)})
         known, base, lm = np.append(c > 0, False).astype(np.int64), np.append(np.log10(c + 1.0), 0.0), np.append(lm, 0.0)
         uid, none = TaskContext.get().partitionId() << 40, len(listed)
         for part, texts in text_rows(batches):
             rows: list[list] = [[] for _ in range(len(names) - 1)]
             heads: list[int] = []
+            of0, key0, key1, of1 = junctions(*lowered(part.column(1)))
+            costs = np.bincount(of0, low.costs(0, key0), part.num_rows) + np.bincount(of1, low.costs(1, key1), part.num_rows)
             for i, raw in enumerate(texts):
                 words = raw.lower().split()
                 words.append(b"")
@@ -327,7 +411,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 cold = Counter([words[j] for j in np.flatnonzero(at == none).tolist()])
                 doc = part.column(0)[i]
                 heads.append(i)
-                head = uid, b" %d" % uid, held_out(doc.as_py()), len(words), int(known[at].sum()), float(base[at].sum()), float(lm[at].sum()), 0
+                head = uid, b" %d" % uid, held_out(doc.as_py()), len(words), int(known[at].sum()), float(base[at].sum()), float(lm[at].sum() + costs[i]), 0
                 for col, v in zip(rows, head, strict=True):
                     col.append(v)
                 for w, n in cold.items():

@@ -224,8 +224,8 @@ def test_op3(spark, folder, rows):
     want = [(d, h, len(t), sum(train[w] > 0 for w in t), n, round(sum(math.log10((train[w] + 1) / (n + v + 1)) for w in t), 5)) for d, h, t in docs]
     same([(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got], want)
     # against a trie that is walked symbol by symbol
-    lm = Brute(train)
-    want = {d: sum(lm.word(w.encode()) for w in t) for d, _, t in docs if d is not None and d >= 100_000}
+    lm = Brute([t for _, held, t in docs if not held])
+    want = {d: lm.text(t) for d, _, t in docs if d is not None and d >= 100_000}
     for r in got:
         if r.doc_id in want:
             assert r.score == pytest.approx(want[r.doc_id], abs=1e-6), r.doc_id
@@ -236,21 +236,20 @@ def test_op3(spark, folder, rows):
 
 
 class Brute:
-    """The same model as code_lengths, by dictionaries."""
-
-    def __init__(self, train):
-        self.prefix, self.short = {}, {}
-        for w, c in train.items():
-            w = w.encode()
-            for i, (ctx, s) in enumerate(self.walk(w)):
-                if i >= 2 and i <= ppm.DEPTH:
-                    self.prefix.setdefault(w[:i], Counter())[s] += c
+    """The same model, by dictionaries and symbol by symbol."""
+
+    def __init__(self, texts):
+        self.long, self.short = {}, {}
+        for words in texts:
+            for before, prefix, s in self.walk(words):
+                if (ctx := self.top(before, prefix)) is not None:
+                    self.long.setdefault(ctx, Counter())[s] += 1
                 for k in range(3):
-                    self.short.setdefault(ctx[k:], Counter())[s] += c
+                    self.short.setdefault(before[len(before) - k :], Counter())[s] += 1
         met = {}
-        for w, counts in self.prefix.items():
+        for (kind, w), counts in self.long.items():
             t, d, once = sum(counts.values()), len(counts), sum(n == 1 for n in counts.values())
-            if len(w) >= 3 and t > 1:
+            if kind == "prefix" and len(w) >= 3 and t > 1:
                 for kind, at, n in ((self.kind(t - 1, d - 1), 0, once), (self.kind(t - 1, d), 1, t - once)):
                     met.setdefault(kind, [0, 0])[at] += n
         self.see = ppm.escape_table([(k, *v) for k, v in met.items()])
@@ -262,19 +261,30 @@ class Brute:
         return int(ppm.kinds_of(np.array([t]), np.array([d]))[0])
 
     @staticmethod
-    def walk(w):
-        data = b"  " + w + b" "
-        return [(data[i : i + 2], data[i + 2]) for i in range(len(w) + 1)]
+    def walk(words):
+        stream = b"   "
+        for w in words:
+            data = w.encode() + b" "
+            for i in range(len(data)):
+                yield stream[-3:], data[:i], data[i]
+                stream += data[i : i + 1]
 
-    def word(self, w):
+    @staticmethod
+    def top(before, prefix):
+        """The longest context: three bytes across the space, then the word's prefix."""
+        return ("across", before) if len(prefix) < 2 else ("prefix", prefix) if len(prefix) <= ppm.DEPTH else None
+
+    def text(self, words):
         total = 0.0
-        for i, (ctx, s) in enumerate(self.walk(w)):
-            orders = ([self.prefix[w[:i]]] if 2 <= i <= ppm.DEPTH and w[:i] in self.prefix else []) + [self.short[x] for x in (ctx, ctx[1:], b"") if x in self.short]
+        for before, prefix, s in self.walk(words):
+            ctx = self.top(before, prefix)
+            longest = self.long.get(ctx)
+            orders = ([longest] if longest else []) + [self.short[x] for x in (before[-2:], before[-1:], b"") if x in self.short]
             out = set()
-            for order, counts in enumerate(orders):
+            for counts in orders:
                 left = {a: n for a, n in counts.items() if a not in out}
                 t, d = sum(left.values()), len(left)
-                e = self.see[self.kind(t, d)] if order == 0 and counts is self.prefix.get(w[:i]) and i >= 3 else d / (2 * t) if t else 1
+                e = self.see[self.kind(t, d)] if counts is longest and len(prefix) >= 3 else d / (2 * t) if t else 1
                 if s in left:
                     total += math.log10((1 - e) * (2 * left[s] - 1) / (2 * t - d))
                     break
@@ -286,6 +296,16 @@ class Brute:
         return total
 
 
+def test_op3_depends_on_the_order_of_words(spark):
+    rnd = random.Random(9)
+    docs = [r for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect() if r.text]
+    mixed = [(10**6 + r.doc_id, " ".join(rnd.sample(r.text.split(), len(r.text.split())))) for r in docs]
+    both = spark.createDataFrame([tuple(r) for r in docs] + mixed, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in ppm.score_texts(both).collect()}
+    differ = sum(abs(got[r.doc_id] - got[10**6 + r.doc_id]) > 1e-6 for r in docs if len(set(r.text.split())) > 3)
+    assert differ > 0.9 * sum(len(set(r.text.split())) > 3 for r in docs)
+
+
 def test_op4(spark, folder, rows):
     want = []
     for doc, text, *_ in rows:
