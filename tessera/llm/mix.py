@@ -5,11 +5,13 @@ all words by weight, but none more than `most` times its own; what that cuts off
 none is above. That is min(most * size, level * weight) for one water level, found from running sums over sources.
 
 Blocks: a source's documents are dealt to shards by a hash, ordered there by a seeded hash and strung together; the
-string is cut into blocks of `block` words. Block after block goes to the shard of the highest quotient
-w / (2 a + 1), w being its part of the target and a the blocks that it has, until quotients fall under block / 2: each
-shard gets w / block blocks, rounded half up. That quotient is the divisor form of the method, so no shard waits for
-another and nothing is ranked globally. A quota of whole rounds takes every block that often; the rest of it falls on
-evenly spaced blocks from a seeded start, the order of documents being random.
+string is cut into blocks of equal words: `block`, halved for a small source until its target holds LEAST blocks, down to
+single words, so that small sources meet their targets too. A source's blocks, its target over the block size, are handed
+to its shards one after the other by the highest quotient w / (2 a + 1), w being the shard's words and a the blocks that it
+has. Blocks that a shard gets whatever the others do (the divisor is known to within half the number of shards) are given
+at once; the few quotients near the divisor are ranked, a handful of rows for every SHARD words. A quota of whole rounds
+takes every block that often; the rest of it falls on evenly spaced blocks from a seeded start, the order of documents
+being random.
 
 Null text: size 0. Null source: a source of its own, the last. Null id: ordered as the empty text. Repeated rows share
 a place in the order and are strung one after the other. No words at all: targets 0. Empty table: no rows.
@@ -21,12 +23,12 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, arrow_type, column, give_back, has_columns, materialize, row_hash, shielded
 
-WEIGHTS, SHARE, MOST, BLOCK, SHARD, SEED = (5, 2, 1), 1.5, 2.0, 64, 1 << 17, 17
+WEIGHTS, SHARE, MOST, BLOCK, LEAST, SHARD, SEED = (5, 2, 1), 1.5, 2.0, 64, 64, 1 << 17, 17
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -42,9 +44,32 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     return w.select("source", "source_size", "weight", F.least("cap", F.col("water") * F.col("weight")).alias("target"))
 
 
+def block_size(target: Column, block: int, least: int = LEAST) -> Column:
+    """The greatest of block, block / 2, ... that goes into the target `least` times; 1 at least."""
+    out = F.when(target >= block * least, block)
+    size = block // 2
+    while size > 1:
+        out, size = out.when(target >= size * least, size), size // 2
+    return out.otherwise(1)
+
+
+def quotas(shards: DataFrame) -> DataFrame:
+    """(source, shard, shard_size, seats) -> with `quota`: the seats of a source dealt to its shards by highest quotients
+    shard_size / (2 a + 1), the lower shard first among equals. A quota lies within half a shard's share of the number of
+    shards, and half a seat, of its share of the seats: only those quotients are ranked."""
+    per = Window.partitionBy("source")
+    part = F.col("shard_size") / F.sum("shard_size").over(per)
+    t = shards.filter("shard_size > 0").withColumn("share", part * F.col("seats")).withColumn("slack", part * F.count("*").over(per) / 2 + 0.5)
+    t = t.withColumn("sure", F.greatest(F.lit(0), F.floor(F.col("share") - F.col("slack")))).withColumn("left", F.col("seats") - F.sum("sure").over(per))
+    t = t.withColumn("a", F.explode(F.sequence("sure", F.ceil(F.col("share") + F.col("slack")))))
+    best = Window.partitionBy("source").orderBy((F.col("shard_size") / (2 * F.col("a") + 1)).desc(), "shard")
+    t = t.withColumn("won", (F.row_number().over(best) <= F.col("left")).cast("long"))
+    return t.groupBy("source", "shard").agg((F.max("sure") + F.sum("won")).alias("quota"))
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, shard: int = SHARD, seed: int = SEED, **how: object) -> DataFrame:
     """doc_id, size, source_size, target, taken, and where in the document the last, partial round falls: rounds long
-    and the shard's block arithmetic (start, phase, rest, blocks) that `taken_before` reads."""
+    and the shard's block arithmetic (start, phase, rest, blocks, block) that `taken_before` reads."""
     has_columns(docs, doc_id, text, source)
     size = F.coalesce(F.regexp_count(column(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     rows = materialize(
@@ -57,28 +82,30 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     within = Window.partitionBy("source", "shard")
     b = b.withColumn("start", F.sum("size").over(within.orderBy("mark", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     b = b.withColumn("shard_size", F.sum("size").over(within))
-    b = b.withColumn("blocks", F.ceil(F.col("shard_size") / F.lit(block)))
-    quota = F.floor(F.try_divide(F.col("target") * F.col("shard_size"), F.col("source_size")) / F.lit(float(block)) + F.lit(0.5))
-    b = b.withColumn("quota", F.least(F.coalesce(quota, F.lit(0)), 2 * F.col("blocks")))
+    b = b.withColumn("block", block_size(F.col("target"), block).cast("long")).withColumn("blocks", F.ceil(F.col("shard_size") / F.col("block")))
+    seats = F.floor(F.max(F.col("target") / F.col("block")) + F.lit(0.5)).alias("seats")
+    dealt = quotas(b.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), seats)).withColumnsRenamed({"source": "of", "shard": "at"})
+    b = b.join(dealt, b.source.eqNullSafe(F.col("of")) & (b.shard == F.col("at")), "left")
+    b = b.withColumn("quota", F.least(F.coalesce("quota", F.lit(0)), 2 * F.col("blocks")))
     n = F.greatest("blocks", F.lit(1))
     b = b.withColumn("rounds", F.floor(F.col("quota") / n)).withColumn("rest", F.col("quota") % n)
     b = b.withColumn("phase", F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit("")), F.lit(":"), F.col("shard").cast("string"))), 1, 8), 16, 10).cast("long") % n)
-    taken = F.col("rounds") * F.col("size") + taken_before(F.col("start") + F.col("size"), block) - taken_before(F.col("start"), block)
-    return b.withColumn("taken", taken.cast("long")).select("doc_id", "size", "source_size", "target", "taken", "rounds", "start", "phase", "rest", "blocks")
+    taken = F.col("rounds") * F.col("size") + taken_before(F.col("start") + F.col("size")) - taken_before(F.col("start"))
+    return b.withColumn("taken", taken.cast("long")).select("doc_id", "size", "source_size", "target", "taken", "rounds", "start", "phase", "rest", "blocks", "block")
 
 
-def taken_before(at, block: int = BLOCK):
+def taken_before(at):
     """Words of the shard's chosen blocks before word `at` (the partial round only)."""
     n = F.greatest("blocks", F.lit(1))
-    j = F.floor(at / F.lit(block))
+    j = F.floor(at / F.col("block"))
 
     def upto(k):
         return F.floor((k + F.col("phase")) * F.col("rest") / n)
 
-    return (upto(j) - upto(F.lit(0))) * F.lit(block) + (upto(j + 1) - upto(j)) * (at % F.lit(block))
+    return (upto(j) - upto(F.lit(0))) * F.col("block") + (upto(j + 1) - upto(j)) * (at % F.col("block"))
 
 
-def chosen_words(start: int, size: int, phase: int, rest: int, blocks: int, block: int = BLOCK) -> list[tuple[int, int]]:
+def chosen_words(start: int, size: int, phase: int, rest: int, blocks: int, block: int) -> list[tuple[int, int]]:
     """Stretches (begin, end), in words of the document, that the partial round takes."""
     out: list[tuple[int, int]] = []
     n = max(1, blocks)
@@ -103,9 +130,9 @@ def taken_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     # equal ids share a mark, so rows that repeat one are matched by their size as well
     keyed = inner.withColumn("of", F.coalesce(F.regexp_count(F.col(body).cast("string"), F.lit(WORD)), F.lit(0)).cast("long"))
     keyed = keyed.withColumn("nth", F.row_number().over(Window.partitionBy(key, "of").orderBy(row_hash(inner))))
-    per = plan.select("doc_id", "size", "taken", "rounds", "start", "phase", "rest", "blocks").withColumn("twin", F.row_number().over(Window.partitionBy("doc_id", "size").orderBy("start")))
+    per = plan.select("doc_id", "size", "taken", "rounds", "start", "phase", "rest", "blocks", "block").withColumn("twin", F.row_number().over(Window.partitionBy("doc_id", "size").orderBy("start")))
     joined = keyed.join(per, F.col(key).eqNullSafe(per["doc_id"]) & (keyed["of"] == per["size"]) & (keyed["nth"] == per["twin"])).filter("taken > 0")
-    joined = joined.select(*names, "rounds", "start", "size", "phase", "rest", "blocks")
+    joined = joined.select(*names, "rounds", "start", "size", "phase", "rest", "blocks", "block")
     at, chars = docs.columns.index(text), docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
     target = arrow_type(inner.schema)
     word = re.compile(WORD)
@@ -115,11 +142,11 @@ def taken_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
                 rows, texts = [], []
-                numbers = [part.column(len(names) + i).to_pylist() for i in range(6)]
-                for i, (whole, rounds, start, size, phase, rest, blocks) in enumerate(zip(part.column(at).to_pylist(), *numbers, strict=True)):
+                numbers = [part.column(len(names) + i).to_pylist() for i in range(7)]
+                for i, (whole, rounds, start, size, phase, rest, blocks, block) in enumerate(zip(part.column(at).to_pylist(), *numbers, strict=True)):
                     rows += [i] * rounds
                     texts += [whole] * rounds
-                    cuts = chosen_words(start, size, phase, rest, blocks)
+                    cuts = chosen_words(start, size, phase, rest, blocks, block)
                     if cuts == [(0, size)]:
                         rows.append(i)
                         texts.append(whole)
@@ -154,13 +181,20 @@ b AS (SELECT d.*, source_size, target, ('0x' || substr(mark, 1, 8))::BIGINT % gr
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT *, (sum(size) OVER (PARTITION BY source, shard ORDER BY mark, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start,
         (sum(size) OVER (PARTITION BY source, shard))::BIGINT AS shard_size FROM b),
-e AS (SELECT *, greatest(1, ceil(shard_size::DOUBLE / {BLOCK})::BIGINT) AS n,
-        CASE WHEN source_size = 0 THEN 0 ELSE least(floor(target * shard_size / source_size / {BLOCK} + 0.5::DOUBLE)::BIGINT, 2 * ceil(shard_size::DOUBLE / {BLOCK})::BIGINT) END AS quota,
-        ('0x' || substr(md5('{SEED}:' || coalesce(source, '') || ':' || shard::VARCHAR), 1, 8))::BIGINT AS p FROM c),
-f AS (SELECT *, quota // n AS rounds, quota % n AS rest, p % n AS phase, start // {BLOCK} AS j, (start + size) // {BLOCK} AS k FROM e)
+g AS (SELECT *, CASE {' '.join(f'WHEN target >= {(BLOCK >> i) * LEAST} THEN {BLOCK >> i}' for i in range(BLOCK.bit_length() - 1))} ELSE 1 END::BIGINT AS block FROM c),
+h AS (SELECT source, shard, sum(size)::BIGINT AS shard_size, floor(max(target / block) + 0.5::DOUBLE)::BIGINT AS seats FROM g GROUP BY ALL HAVING sum(size) > 0),
+i AS (SELECT *, shard_size / (sum(shard_size) OVER o)::DOUBLE * seats AS share, shard_size / (sum(shard_size) OVER o)::DOUBLE * count(*) OVER o / 2 + 0.5::DOUBLE AS slack FROM h WINDOW o AS (PARTITION BY source)),
+k AS (SELECT *, greatest(0, floor(share - slack)::BIGINT) AS sure FROM i),
+m AS (SELECT *, (seats - sum(sure) OVER (PARTITION BY source))::BIGINT AS lft, unnest(range(sure, ceil(share + slack)::BIGINT + 1)) AS a FROM k),
+n AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY shard_size / (2 * a + 1)::DOUBLE DESC, shard) <= lft)::INT AS won FROM m),
+q AS (SELECT source, shard, max(sure) + sum(won) AS dealt FROM n GROUP BY ALL),
+e AS (SELECT g.*, greatest(1, ceil(shard_size::DOUBLE / block)::BIGINT) AS n, least(coalesce(dealt, 0), 2 * ceil(shard_size::DOUBLE / block)::BIGINT)::BIGINT AS quota,
+        ('0x' || substr(md5('{SEED}:' || coalesce(g.source, '') || ':' || g.shard::VARCHAR), 1, 8))::BIGINT AS p
+      FROM g LEFT JOIN q ON g.source IS NOT DISTINCT FROM q.source AND g.shard = q.shard),
+f AS (SELECT *, quota // n AS rounds, quota % n AS rest, p % n AS phase, start // block AS j, (start + size) // block AS k FROM e)
 SELECT doc_id, size, source_size, target,
-  (rounds * size + ((k + phase) * rest // n - (j + phase) * rest // n) * {BLOCK}
-    + ((k + 1 + phase) * rest // n - (k + phase) * rest // n) * ((start + size) % {BLOCK})
-    - ((j + 1 + phase) * rest // n - (j + phase) * rest // n) * (start % {BLOCK}))::BIGINT AS taken
+  (rounds * size + ((k + phase) * rest // n - (j + phase) * rest // n) * block
+    + ((k + 1 + phase) * rest // n - (k + phase) * rest // n) * ((start + size) % block)
+    - ((j + 1 + phase) * rest // n - (j + phase) * rest // n) * (start % block))::BIGINT AS taken
 FROM f
 """
