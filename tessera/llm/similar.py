@@ -10,8 +10,8 @@ fingerprint emits the group's value with none or one bit flipped: GROUPS * (1 +
 differing bits in some group meet in one of its variants. What meets within APART bits is a candidate; its sets are compared.
 So a link can be missed (its bits lie badly), and none is made that the sets do not bear out.
 
-Classes need a spanning set of links only. So of a bucket's candidates each text is first compared with two: the first one
-before it and the nearest. What that links makes groups, and then all candidates of different groups are compared, none
+Classes need a spanning set of links only. So each text is first compared with PICKS others: the nearest of those that its
+buckets propose (in each the first one before it and the nearest). What that links makes groups, and then all candidates of different groups are compared, none
 left out. A large group of near copies is one group by then, and its pairs are never made.
 
 Sets are named by a 64-bit hash of their shingles, so exact copies are merged before. Rows without an id take no part
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import column, give_back, has_columns, map_text, materialize, one_per_id
 from .graph import components
 
-WIDTH, LIMIT, GROUPS, BITS, APART, SMALL = 5, 0.8, 7, 18, 28, 256
+WIDTH, LIMIT, GROUPS, BITS, APART, SMALL, PICKS = 5, 0.8, 7, 18, 28, 256, 8
 KEEP = np.uint64((1 << 63) - 1)  # 63 bits of each half
 
 
@@ -112,6 +112,7 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for cols in _whole_buckets(batches):
         key, name, a, b = cols
         first, near = np.full(len(key), -1), np.full(len(key), -1)
+        apart = [np.zeros(len(key), np.int32), np.zeros(len(key), np.int32)]
         live = np.zeros(len(key), bool)
         for i, j, d in candidates(key, a, b, name):
             if not len(i):
@@ -119,13 +120,13 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             live[i] = live[j] = True
             order = np.lexsort((i, j))
             head = order[np.append(True, j[order][1:] != j[order][:-1])]
-            first[j[head]] = i[head]
+            first[j[head]], apart[0][j[head]] = i[head], d[head]
             order = np.lexsort((i, d, j))
             head = order[np.append(True, j[order][1:] != j[order][:-1])]
-            near[j[head]] = i[head]
+            near[j[head]], apart[1][j[head]] = i[head], d[head]
         at = np.flatnonzero(live)
         picks = [pa.array(name[np.maximum(x[at], 0)], mask=x[at] < 0) for x in (first, near)]
-        yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in cols] + picks, names=["variant", "name", "a", "b", "first", "near"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in cols] + picks + [pa.array(x[at]) for x in apart], names=["variant", "name", "a", "b", "first", "near", "d_first", "d_near"])
     give_back()
 
 
@@ -174,16 +175,19 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     sets = materialize(marked.groupBy("name").agg(F.min("doc_id").alias("least"), F.min("a").alias("a"), F.min("b").alias("b")), "names")
     variants = sets.select("name", "a", "b").mapInArrow(_variants, "variant int, name long, a long, b long")
     met = variants.repartition("variant").sortWithinPartitions("variant", "name")
-    live = materialize(met.mapInArrow(_live, "variant int, name long, a long, b long, first long, near long"), "live")
+    live = materialize(met.mapInArrow(_live, "variant int, name long, a long, b long, first long, near long, d_first int, d_near int"), "live")
     found = materialize(_sets(marked, plain, live.select("name").distinct()), "sets")
 
     def verified(pairs: DataFrame, step: str) -> DataFrame:
         joined = pairs.join(found.select(F.col("name").alias("x"), F.col("found").alias("s")), "x").join(found.select(F.col("name").alias("y"), F.col("found").alias("t")), "y")
         return materialize(joined.select("x", "y", "s", "t").mapInArrow(_similar, "a long, b long"), step)
 
-    picked = live.select("name", F.explode(F.array("first", "near")).alias("other")).filter("other IS NOT NULL")
+    # of what a text's buckets pick, two each at most, the nearest PICKS; the rest is left to the second step
+    both = F.array(F.struct(F.col("d_first").alias("d"), F.col("first").alias("other")), F.struct(F.col("d_near").alias("d"), F.col("near").alias("other")))
+    nearest = live.select("name", F.explode(both).alias("p")).filter("p.other IS NOT NULL").groupBy("name").agg(F.slice(F.array_sort(F.collect_set("p")), 1, PICKS).alias("p"))
+    picked = nearest.select("name", F.explode("p.other").alias("other"))
     some = verified(picked.select(F.least("name", "other").alias("x"), F.greatest("name", "other").alias("y")).distinct(), "picked")
-    grouped = live.drop("first", "near").join(components(some), live.name == F.col("node"), "left").select("variant", "name", "a", "b", F.coalesce("component", "name").alias("component"))
+    grouped = live.join(components(some), live.name == F.col("node"), "left").select("variant", "name", "a", "b", F.coalesce("component", "name").alias("component"))
     rest = grouped.repartition("variant").sortWithinPartitions("variant", "name").mapInArrow(_across, "x long, y long").distinct()
     linked = components(some.unionByName(verified(rest, "across")))
     named = sets.join(linked, sets.name == linked.node, "left").select("name", "least", F.coalesce("component", "name").alias("component"))
