@@ -11,8 +11,12 @@ differing bits in some group meet in one of its variants. What meets within APAR
 So a link can be missed (its bits lie badly), and none is made that the sets do not bear out.
 
 Classes need a spanning set of links only. So each text is first compared with PICKS others: the nearest of those that its
-buckets propose (in each the first one before it and the nearest). What that links makes groups, and then all candidates of different groups are compared, none
-left out. A large group of near copies is one group by then, and its pairs are never made.
+buckets propose (in each the first one before it and the nearest). What that links makes groups, and then all candidates of
+different groups are compared, none left out. A large group of near copies is one group by then, and its pairs are never made.
+
+Before the sets themselves are read, sketches rule out most candidates of different groups, and never a link: a set's sketch
+has SKETCH bits, each the parity of the shingles that fall on it. Bits that differ between two sketches are shingles that only
+one set has, at least one each; a similarity of LIMIT leaves no more than (1 - LIMIT) / (1 + LIMIT) of both sizes to those.
 
 Sets are named by a 64-bit hash of their shingles, so exact copies are merged before. Rows without an id take no part
 and stay. Empty table: no rows.
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import column, give_back, has_columns, map_text, materialize, one_per_id
 from .graph import components
 
-WIDTH, LIMIT, GROUPS, BITS, APART, SMALL, PICKS = 5, 0.8, 7, 18, 28, 256, 8
+WIDTH, LIMIT, GROUPS, BITS, APART, SMALL, PICKS, SKETCH = 5, 0.8, 7, 18, 28, 256, 8, 512
 KEEP = np.uint64((1 << 63) - 1)  # 63 bits of each half
 
 
@@ -40,8 +44,8 @@ def shingles(raw: bytes) -> list[bytes]:
     return [b" ".join(words[i : i + WIDTH]) for i in range(max(1, len(words) - WIDTH + 1))] if words else []
 
 
-def marks(raw: bytes) -> tuple[int, int, int]:
-    """The name of the text's set of shingles, and the two halves of its fingerprint (63 bits each)."""
+def marks(raw: bytes) -> tuple[int, int, int, int, bytes]:
+    """The name of the text's set of shingles, the two halves of its fingerprint (63 bits each), the set's size and sketch."""
     digest = b"".join(map(xxhash.xxh3_128_digest, sorted(set(shingles(raw)))))
     name = xxhash.xxh3_64_intdigest(digest)
     bits = np.unpackbits(np.frombuffer(digest, np.uint8).reshape(-1, 16), axis=1)
@@ -49,7 +53,8 @@ def marks(raw: bytes) -> tuple[int, int, int]:
     for k in range(0, len(bits), 255):  # sums of bytes stay in a byte
         votes += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
     a, b = (np.packbits(2 * votes > len(bits)).view("<u8") & KEEP).tolist()
-    return name - (1 << 64) if name >> 63 else name, a, b
+    odd = np.bincount(np.frombuffer(digest, "<u2")[::8] % SKETCH, minlength=SKETCH) & 1
+    return name - (1 << 64) if name >> 63 else name, a, b, len(bits), np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,14 +96,30 @@ def candidates(key: np.ndarray, a: np.ndarray, b: np.ndarray, group: np.ndarray)
                 yield i + s, np.full(len(i), k), d[i]
 
 
+def may_link(size: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the sets at i and j can reach LIMIT, by their sizes and sketches (rows of 64-bit words)."""
+    apart = np.zeros(len(i), np.int64)
+    for word in range(sketch.shape[1]):
+        apart += np.bitwise_count(sketch[i, word] ^ sketch[j, word])
+    apart = np.maximum(apart, np.abs(size[i] - size[j]))
+    return apart * (1 + LIMIT) <= (1 - LIMIT) * (size[i] + size[j]) + 1e-6
+
+
+def _values(array: pa.Array) -> np.ndarray:
+    """A column's numbers, or a row of 64-bit words for each sketch."""
+    if pa.types.is_binary(array.type):
+        return np.frombuffer(b"".join(array.to_pylist()), np.uint64).reshape(len(array), -1)
+    return array.to_numpy()
+
+
 def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of rows sorted by the first of them, cut between its values."""
     rest: list[np.ndarray] = []
     for batch in batches:
-        cols = [c.to_numpy() for c in batch.columns]
-        rest = [np.concatenate(x) for x in zip(rest, cols, strict=True)] if rest else cols
-        if not len(rest[0]):
+        if not batch.num_rows:
             continue
+        cols = [_values(c) for c in batch.columns]
+        rest = [np.concatenate(x) for x in zip(rest, cols, strict=True)] if rest else cols
         cut = int(np.searchsorted(rest[0], rest[0][-1]))  # the last bucket may go on
         if cut:
             yield [x[:cut] for x in rest]
@@ -131,10 +152,12 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """variant, name, a, b, component -> all candidates of different components."""
-    for key, name, a, b, component in _whole_buckets(batches):
+    """variant, name, a, b, component, size, sketch -> all candidates of different components that their sketches allow."""
+    for key, name, a, b, component, size, sketch in _whole_buckets(batches):
         found = [np.zeros((0, 2), np.int64)]
         for i, j, _ in candidates(key, a, b, component):
+            able = may_link(size, sketch, i, j)
+            i, j = i[able], j[able]
             found.append(np.stack([np.minimum(name[i], name[j]), np.maximum(name[i], name[j])], 1))
         pairs = np.unique(np.concatenate(found), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["x", "y"])
@@ -171,8 +194,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """doc_id and component_id (the least id of the row's class), a row for each row of docs that has an id."""
     has_columns(docs, doc_id, text)
     plain = docs.select(column(doc_id).alias("doc_id"), column(text).cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    marked = materialize(map_text(plain, ["doc_id"], "text", "name long, a long, b long", marks), "marks")
-    sets = materialize(marked.groupBy("name").agg(F.min("doc_id").alias("least"), F.min("a").alias("a"), F.min("b").alias("b")), "names")
+    marked = materialize(map_text(plain, ["doc_id"], "text", "name long, a long, b long, size long, sketch binary", marks), "marks")
+    sets = materialize(marked.groupBy("name").agg(F.min("doc_id").alias("least"), *(F.min(x).alias(x) for x in ("a", "b", "size", "sketch"))), "names")
     variants = sets.select("name", "a", "b").mapInArrow(_variants, "variant int, name long, a long, b long")
     met = variants.repartition("variant").sortWithinPartitions("variant", "name")
     live = materialize(met.mapInArrow(_live, "variant int, name long, a long, b long, first long, near long, d_first int, d_near int"), "live")
@@ -187,7 +210,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     nearest = live.select("name", F.explode(both).alias("p")).filter("p.other IS NOT NULL").groupBy("name").agg(F.slice(F.array_sort(F.collect_set("p")), 1, PICKS).alias("p"))
     picked = nearest.select("name", F.explode("p.other").alias("other"))
     some = verified(picked.select(F.least("name", "other").alias("x"), F.greatest("name", "other").alias("y")).distinct(), "picked")
-    grouped = live.join(components(some), live.name == F.col("node"), "left").select("variant", "name", "a", "b", F.coalesce("component", "name").alias("component"))
+    group = sets.join(components(some), sets.name == F.col("node"), "left").select("name", F.coalesce("component", "name").alias("component"), "size", "sketch")
+    grouped = live.select("variant", "name", "a", "b").join(group, "name").select("variant", "name", "a", "b", "component", "size", "sketch")
     rest = grouped.repartition("variant").sortWithinPartitions("variant", "name").mapInArrow(_across, "x long, y long").distinct()
     linked = components(some.unionByName(verified(rest, "across")))
     named = sets.join(linked, sets.name == linked.node, "left").select("name", "least", F.coalesce("component", "name").alias("component"))

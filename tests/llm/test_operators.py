@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import regex
 import xxhash
@@ -138,6 +139,32 @@ def test_ball_hashing_finds_every_pair(spark):
     assert classes(found) == classes((a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 3)
 
 
+def test_sketches_never_rule_out_a_link():
+    """Of random pairs of sets, all with a similarity of 0.8 or more may link by their sketches; of pairs of some hundred
+    shingles well below it, few."""
+    from tessera.llm import similar
+
+    rnd = random.Random(11)
+    below = []
+    for n in (1, 4, 5, 6, 9, 60, 200, 350, 3000):
+        for _ in range(40):
+            words = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+            other = list(words)
+            for _ in range(rnd.randrange(0, 2 + n // 12)):
+                k = rnd.randrange(len(other) + 1)
+                other[k : k + rnd.randrange(2)] = [f"w{rnd.randrange(10**6)}"] * rnd.randrange(2)
+            raw = " ".join(words).encode(), " ".join(other).encode()
+            s, t = (set(similar.shingles(x)) for x in raw)
+            marked = [similar.marks(x) for x in raw]
+            size, sketch = np.array([m[3] for m in marked]), np.stack([np.frombuffer(m[4], np.uint64) for m in marked])
+            able = bool(similar.may_link(size, sketch, np.array([0]), np.array([1]))[0])
+            alike = len(s & t) / len(s | t) if s | t else 1.0
+            assert able or alike < similar.LIMIT
+            if 100 <= n <= 400 and alike < 0.7:
+                below.append(able)
+    assert len(below) > 10 and sum(below) <= 0.1 * len(below)
+
+
 def test_pipeline_drops_texts_of_similar_shingles(spark, tmp_path):
     """Every pair of 0.8 that a plain search finds is in one class, and no class holds texts that no chain of pairs joins."""
     from tessera.llm import similar
