@@ -42,6 +42,79 @@ def _alphas(add: Callable) -> None:
         "054": [{"value": "-(low - close) * pow(open, 5) / nullif((low - high) * pow(close, 5), 0)"}],
         "101": [{"value": "(close - open) / (high - low + 0.001::DOUBLE)"}],
     }
+    adv = O.full("volume", 20, "avg(volume) OVER w20")
+    total = lambda x, n: O.full(x, n, f"sum({x}) OVER w{n}")
+    sd = lambda x, n: O.full(x, n, f"stddev_samp({x}) OVER w{n}")
+    most = lambda x, n, f="max": O.full(x, n, f"{f}({x}) OVER w{n}")
+    place = lambda x, n: O.full(x, n, O.rank(x, n))
+    ranks = lambda *names: {n: O.pct(n) for n in names}
+    scale = lambda x: f"{x} / nullif(sum(abs({x})) OVER d, 0)"
+    bend = f"({lag('close', 20)} - {lag('close', 10)}) / 10 - ({lag('close', 10)} - close) / 10"
+    ends = "list(close) OVER w10"
+    sql |= {
+        "002": [{"p": O.tidy(f"ln(volume) - {lag('ln(volume)', 2)}"), "q": "oc"}, ranks("p", "q"), {"value": f"-({corr('p', 'q', 6)})"}],
+        "004": [{"p": O.pct("low")}, {"value": f"-({place('p', 9)})"}],
+        "010": [*turn(4), {"value": O.pct("value")}],
+        "005": [{"vw": vwap}, {"p": O.tidy(f"open - {total('vw', 10)} / 10"), "q": O.tidy("close - vw")}, ranks("p", "q"), {"value": "-p * abs(q)"}],
+        "007": [{"p": f"close - {lag('close', 7)}", "r": adv}, {"q": "abs(p)"}, {"value": f"CASE WHEN r < volume THEN -({place('q', 60)}) * sign(p) ELSE -1 END"}],
+        "008": [{"p": f"{total('open', 5)} * {total('ret', 5)}"}, {"q": O.tidy(f"p - {lag('p', 10)}")}, {"value": f"-({O.pct('q')})"}],
+        "011": [
+            {"vw": f"{vwap} - close", "r": f"volume - {lag('volume', 3)}"},
+            {"p": O.tidy(most("vw", 3)), "q": O.tidy(most("vw", 3, "min"))},
+            ranks("p", "q", "r"),
+            {"value": "(p + q) * r"},
+        ],
+        "014": [{"p": O.tidy(f"ret - {lag('ret', 3)}"), "q": corr("open", "volume", 10)}, ranks("p"), {"value": "-p * q"}],
+        "015": [{"p": O.pct("high"), "q": O.pct("volume")}, {"k": O.tidy(corr("p", "q", 3))}, ranks("k"), {"value": f"-({total('k', 3)})"}],
+        "017": [
+            {"p": place("close", 10), "q": f"close - {lag('close', 1)}", "r": O.tidy(f"volume / ({adv})")},
+            {"q": O.tidy(f"q - {lag('q', 1)}"), "r": place("r", 5)},
+            ranks("p", "q", "r"),
+            {"value": "-p * q * r"},
+        ],
+        "018": [{"p": "abs(close - open)"}, {"q": O.tidy(f"{sd('p', 5)} + (close - open) + {corr('close', 'open', 10)}")}, {"value": f"-({O.pct('q')})"}],
+        "020": [{"p": "open - ph", "q": "open - pc", "r": "open - pl"}, ranks("p", "q", "r"), {"value": "-p * q * r"}],
+        "022": [{"p": corr("high", "volume", 5), "q": O.tidy(sd("close", 20))}, {"p": f"p - {lag('p', 5)}", "q": O.pct("q")}, {"value": "-p * q"}],
+        "025": [{"p": O.tidy(f"-ret * {adv} * ({vwap}) * (high - close)")}, {"value": O.pct("p")}],
+        "026": [{"p": place("volume", 5), "q": place("high", 5)}, {"k": corr("p", "q", 5)}, {"value": f"-({most('k', 3)})"}],
+        "028": [{"r": adv}, {"p": f"{corr('r', 'low', 5)} + (high + low) / 2 - close"}, {"value": scale("p")}],
+        "030": [
+            {"p": "sign(close - pc)"},
+            {"q": f"p + {lag('p', 1)} + {lag('p', 2)}"},
+            ranks("q"),
+            {"value": f"(1 - q) * {total('volume', 5)} / {total('volume', 20)}"},
+        ],
+        "034": [{"p": O.tidy(f"{sd('ret', 2)} / nullif({sd('ret', 5)}, 0)"), "q": f"close - {lag('close', 1)}"}, ranks("p", "q"), {"k": O.tidy("2 - p - q")}, {"value": O.pct("k")}],
+        "038": [{"p": place("close", 10), "q": "close / open"}, ranks("p", "q"), {"value": "-p * q"}],
+        "040": [{"p": O.tidy(sd("high", 10)), "q": corr("high", "volume", 10)}, ranks("p"), {"value": "-p * q"}],
+        "043": [{"p": O.tidy(f"volume / ({adv})"), "q": f"-(close - {lag('close', 7)})"}, {"value": f"({place('p', 20)}) * ({place('q', 8)})"}],
+        "046": [{"p": bend}, {"value": "CASE WHEN p < 0 THEN 1 WHEN p > 0.25::DOUBLE THEN -1 ELSE pc - close END"}],
+        "047": [
+            {"p": "1 / close", "q": "high - close", "r": O.tidy(f"{vwap} - {lag(vwap, 5)}")},
+            ranks("p", "q", "r"),
+            {"value": f"p * volume / ({adv}) * (high * q / ({total('high', 5)} / 5)) - r"},
+        ],
+        "049": [{"p": bend}, {"value": "CASE WHEN p < -0.1::DOUBLE THEN 1 ELSE pc - close END"}],
+        "050": [{"p": "volume", "q": O.tidy(vwap)}, ranks("p", "q"), {"k": O.tidy(corr("p", "q", 5))}, ranks("k"), {"value": f"-({most('k', 5)})"}],
+        "051": [{"p": bend}, {"value": "CASE WHEN p < -0.05::DOUBLE THEN 1 ELSE pc - close END"}],
+        "055": [
+            {"p": O.tidy(f"(close - {most('low', 12, 'min')}) / nullif({most('high', 12)} - {most('low', 12, 'min')}, 0)"), "q": "volume"},
+            ranks("p", "q"),
+            {"value": f"-({corr('p', 'q', 6)})"},
+        ],
+        "060": [
+            {"p": O.tidy("((close - low) - (high - close)) / nullif(high - low, 0) * volume"), "q": O.full("close", 10, f"list_position({ends}, list_max({ends}))")},
+            ranks("p", "q"),
+            {"p": scale("p"), "q": scale("q")},
+            {"value": "q - 2 * p"},
+        ],
+        "083": [
+            {"p": f"(high - low) / nullif({total('close', 5)} / 5, 0)", "k": O.tidy(f"{vwap} - close")},
+            {"q": O.tidy(lag("p", 2)), "r": O.pct("volume")},
+            ranks("q", "r"),
+            {"value": "q * r / nullif(p / nullif(k, 0), 0)"},
+        ],
+    }
     for number in alphas.ALPHAS:
         plan = lambda s, d, n=number: alphas.alpha(staged(s, d), n).select("symbol", "date", tidy("value").alias("value"))
         add(f"alpha_{number}", plan, chain(*sql[number]) if number in sql else None)

@@ -15,7 +15,7 @@ b AS (SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr, (high
   CASE WHEN ret < 0 THEN ret ELSE 0 END AS down, abs(close - pc) AS absd, sign(close - pc) * volume AS flow, close * volume AS cv,
   CASE WHEN pc IS NOT NULL THEN greatest(close - pc, 0) END AS gain, CASE WHEN pc IS NOT NULL THEN greatest(pc - close, 0) END AS loss FROM lagged)"""
 
-WINDOWS = "WINDOW s AS (PARTITION BY symbol ORDER BY date), d AS (PARTITION BY date), u AS (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING), " + ", ".join(f"w{n} AS (PARTITION BY symbol ORDER BY date ROWS {n - 1} PRECEDING)" for n in (3, 5, 10, 20, 60))
+WINDOWS = "WINDOW s AS (PARTITION BY symbol ORDER BY date), d AS (PARTITION BY date), u AS (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING), " + ", ".join(f"w{n} AS (PARTITION BY symbol ORDER BY date ROWS {n - 1} PRECEDING)" for n in (2, 3, 4, 5, 6, 8, 9, 10, 12, 20, 60))
 
 
 def tidy(e: str) -> str:
