@@ -13,7 +13,7 @@ from tessera.operators import alphas, checks
 from tessera.plans import catalog
 
 
-@pytest.mark.parametrize("name", ["alpha_009", "alpha_042", "p07_split", "p08_fold_masks", "a11_forecast_metrics", "j19_chapters", "j21_budgeted_grid", "v07_walk_forward", "v08_transitions", "v12_diagnostics", "n10_csv_round_trip"])
+@pytest.mark.parametrize("name", ["alpha_009", "alpha_042", "alpha_017", "alpha_046", "alpha_083", "p07_split", "p08_fold_masks", "a11_forecast_metrics", "j19_chapters", "j21_budgeted_grid", "v07_walk_forward", "v08_transitions", "v12_diagnostics", "n10_csv_round_trip"])
 def test_twins(spark, name):
     import duckdb
 
