@@ -191,7 +191,7 @@ def shortfall(executions: DataFrame) -> DataFrame:
     """Costs in bps of (symbol, side, price, qty, arrival, bench, adv, sigma_day, half_spread): timing, impact by the
     square-root law, spread, fees (stamp duty on sells of the mainland exchanges), slippage, and their sum."""
     d = F.when(F.col("side") == "buy", 1.0).otherwise(-1.0)
-    bps = lambda x: F.round(x * 1e4, 2)
+    bps = lambda x: F.round(x * 1e4 * 100, 0) / 100  # noqa: E731  the number itself is rounded, not its shortest decimals
     stamp = (F.col("side") != "buy") & F.upper(F.col("symbol").cast("string")).rlike(r"\.(SH|SZ|BJ)$")
     out = executions.withColumns(
         {
@@ -205,6 +205,14 @@ def shortfall(executions: DataFrame) -> DataFrame:
     return out.withColumn("total", sum((F.col(n) for n in ("impact", "spread", "fees", "slippage")), F.col("timing")))
 
 
+def mean_of_hundredths(name: str) -> Column:
+    """Mean, to one decimal with halves away from zero, of a column of whole hundredths: their sum is one of integers,
+    so a mean that ends in 5 rounds the same way whatever the order of rows."""
+    total, n = F.sum(F.round(F.col(name) * 100, 0).cast("long")), F.count(name)
+    tenths = F.call_function("div", F.abs(total) + 5 * n, F.nullif(10 * n, F.lit(0)))
+    return F.when(total < 0, -tenths).otherwise(tenths) / 10.0
+
+
 def index_factor(df: DataFrame, momentum: int = 126, reversal: int = 21, vol: int = 63) -> DataFrame:
     """z(momentum) + 0.25 z(reversal) + 0.25 z(low volatility) per date, all one row late."""
     back = lambda n: div(F.lag("close", 1).over(S()), F.lag("close", n + 1).over(S())) - 1

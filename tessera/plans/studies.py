@@ -302,7 +302,7 @@ SELECT round(exp(lp) - exp(lb), 5) AS active, {', '.join(f'round({n} * (exp(lp)
         x = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("symbol"), F.when(F.col("l_linestatus") == "O", "buy").otherwise("sell").alias("side"), F.date_trunc("week", "l_shipdate").cast("date").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("qty"))
         j = x.join(b.select("symbol", "date", F.col("open").alias("arrival"), (F.col("amount") / F.col("volume")).alias("bench"), "adv", F.coalesce(F.col("sd") / F.sqrt(F.lit(5.0)), F.lit(0.0)).alias("sigma_day"), (0.5 * (F.col("high") - F.col("low")) / F.col("close")).alias("half_spread")), ["symbol", "date"])
         out = research.shortfall(j.withColumn("symbol", F.concat(F.col("symbol").cast("string"), F.when(F.col("symbol") % 2 == 0, ".SH").otherwise(".HK"))))
-        return out.groupBy("symbol").agg(F.count("*").alias("n"), *(F.round(F.avg(n), 1).alias(n) for n in ("timing", "impact", "spread", "fees", "slippage")))
+        return out.groupBy("symbol").agg(F.count("*").alias("n"), *(research.mean_of_hundredths(n).alias(n) for n in ("timing", "impact", "spread", "fees", "slippage")))
 
     sign = "CASE WHEN l_linestatus = 'O' THEN 1 ELSE -1 END"
     add(

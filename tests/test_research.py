@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from test_panel import test_twins as twin
 
 from tessera.operators import analytics, checks, factors, joins, research
+from tessera.plans import catalog
 from tessera.sources import panel
 
 SF = "/root/testdata/sf0.001"
@@ -99,3 +100,15 @@ def test_overfit_measures():
     psr, dsr, length, cut, passed = checks.overfit(0.4, 500, 0.0, 3.0, 0.01, 10)
     assert 0.99 < psr <= 1 and dsr > 0.95 and length < 500 and passed and cut > 0.1
     assert not checks.overfit(0.02, 100, 0.0, 3.0, 0.01, 1000)[-1]
+
+
+def test_shortfall_means_are_exact_at_halves(spark, tmp_path):
+    rows = [(k, 2, 1, 1.0, 100.0, "O" if k < 306 else "F", dt.datetime(1998, 1, 5)) for k in range(600)]  # fees: 2.6 + 5 * 294 / 600 = 5.05
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_linestatus string, l_shipdate timestamp").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = catalog.queries()["b08_shortfall"](spark, str(tmp_path)).first()
+    assert (got.symbol, got.n, got.fees, got.timing) == ("2.SH", 600, 5.1, 0.0)
+    x = [("a", "buy", 100.01005, 1.0, 100.0, 100.0, 1.0, 0.0, 0.0001015), ("a", "sell", 100.0, 1.0, 100.0, 100.0, 1.0, 0.0, None)]
+    out = research.shortfall(spark.createDataFrame(x, "symbol string, side string, price double, qty double, arrival double, bench double, adv double, sigma_day double, half_spread double"))
+    assert [r.spread for r in out.collect()] == [1.01, 0.0]  # 1.015 is less than its decimals say
+    means = spark.createDataFrame([(-0.1, None), (-0.2, None)], "a double, b double").agg(research.mean_of_hundredths("a").alias("a"), research.mean_of_hundredths("b").alias("b")).first()
+    assert means.a == -0.2 and means.b is None
