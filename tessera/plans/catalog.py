@@ -11,7 +11,7 @@ from tessera.functions import cross, series
 from tessera.operators import analytics, checks, factors, joins, quality, text
 from tessera.plans import extras, markets, studies
 from tessera.plans import oracle as O
-from tessera.sources.panel import bars, densify, industries, staged, table
+from tessera.sources.panel import bars, checkpointed, densify, industries, staged, table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -308,9 +308,10 @@ def _validate() -> None:
 
     def trials(s, d):
         """All symbols as trials, the dates in 16 blocks of neighbours."""
-        dates = checks.date_places(staged(s, d).filter("ret is not null"))
+        r = checkpointed(staged(s, d).filter("ret is not null").select("symbol", "date", "ret"))
+        dates = checks.date_places(r)
         blocked = dates.select("date", F.floor(F.col("place") * 16 / (F.col("place") + F.col("left") + 1)).cast("int").alias("block"))
-        return staged(s, d).filter("ret is not null").join(blocked, "date").select(F.col("symbol").alias("trial"), "block", "ret")
+        return r.join(blocked, "date").select(F.col("symbol").alias("trial"), "block", "ret")
 
     moments = "CASE WHEN (m >> block) & 1 = {} THEN {} END"
     parts = ", ".join(f"sum({moments.format(side, c)}) AS {c}{side}" for side in (0, 1) for c in ("n", "a", "q"))

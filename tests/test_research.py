@@ -112,3 +112,20 @@ def test_shortfall_means_are_exact_at_halves(spark, tmp_path):
     assert [r.spread for r in out.collect()] == [1.01, 0.0]  # 1.015 is less than its decimals say
     means = spark.createDataFrame([(-0.1, None), (-0.2, None)], "a double, b double").agg(research.mean_of_hundredths("a").alias("a"), research.mean_of_hundredths("b").alias("b")).first()
     assert means.a == -0.2 and means.b is None
+
+
+def test_overfitting_agrees_with_brute_force_and_hands_on_no_trials(spark):
+    rnd = np.random.default_rng(7)
+    x = rnd.normal(size=(7, 4, 3))
+    x[3] = x[1]  # equal trials: ties go to the smaller
+    x[4] = 0.5  # no deviation, no Sharpe ratio
+    rows = [(t, b, float(v)) for t in range(7) for b in range(4) for v in x[t, b] if t < 6] + [(6, 0, 1.0)]  # trial 6: one return
+    out = analytics.pbo(spark.createDataFrame(rows, "trial long, block int, ret double"), 4)
+    got = {r.split: r for r in out.collect()}
+    assert "trial" not in "".join(part.split(")")[0] for part in out._jdf.queryExecution().toString().split("hashpartitioning(")[1:])
+    for i, split in enumerate(analytics.pbo_splits(4)):
+        sharpe = lambda t, bs: v.mean() / v.std(ddof=1) if t < 6 and t != 4 and len(v := x[t, bs].ravel()) else None
+        inner, outer = ([sharpe(t, list(bs)) for t in range(7)] for bs in (split, set(range(4)) - set(split)))
+        best = max((k for k in range(7) if inner[k] is not None), key=lambda k: (round(inner[k], 9), -k))
+        rank = 1 + sum(v is None or v < outer[best] - 1e-9 for v in outer)
+        assert (got[i].trial, got[i].omega) == (best, rank / 8)
