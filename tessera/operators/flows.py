@@ -106,21 +106,55 @@ def mutual_information(df: DataFrame, x: str, y: str, by: str = "date", bins: in
     return m.select(by, F.coalesce(div(F.col("mi"), F.sqrt(F.col("hx") * F.col("hy"))), F.lit(0.0)).alias("nmi"))
 
 
+def distance_products(x: np.ndarray, y: np.ndarray) -> float:
+    """Sum of |xi - xj| |yi - yj| over all ordered pairs, in n log n steps. With the points placed in order of x, it is the
+    sum of (xj - xi) (yj - yi) with the sign turned where y falls from i to j. Those pairs are found by halving: of a block
+    of places in order of y, each point of the upper half meets the sums over the lower half's points above it."""
+    n, order = len(x), np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    at, fell = np.argsort(y, kind="stable"), 0.0
+    for bit in range((n - 1).bit_length() - 1, -1, -1):
+        low, block = (at >> bit & 1) == 0, at >> (bit + 1)
+        begin = np.flatnonzero(np.diff(block, prepend=-1))
+        sizes = np.diff(begin, append=n)
+        px, py = x[at], y[at]
+
+        def above(v: np.ndarray) -> np.ndarray:
+            c = np.cumsum(np.where(low, v, 0.0))
+            return (np.repeat(c[begin + sizes - 1], sizes) - c)[~low]
+
+        qx, qy = px[~low], py[~low]
+        fell += float((above(np.ones(n)) * qx * qy - qx * above(py) - qy * above(px) + above(px * py)).sum())
+        at = at[np.argsort(at >> bit, kind="stable")]
+    return float(2 * (n * (x @ y) - x.sum() * y.sum()) - 4 * fell)
+
+
+def mean_distances(v: np.ndarray) -> np.ndarray:
+    """Each point's mean distance from all, itself included."""
+    n, order = len(v), np.argsort(v, kind="stable")
+    s, out = v[order], np.empty(len(v))
+    below = np.cumsum(s) - s
+    out[order] = ((2 * np.arange(n) - n) * s + s.sum() - 2 * below) / n
+    return out
+
+
 def dcor(x: np.ndarray, y: np.ndarray, block: int = 512) -> float:
-    """Distance correlation; distances are made by blocks of rows, so memory is block x n."""
+    """Distance correlation in n log n steps and memory of n; up to `block` points from the distances themselves."""
     n = len(x)
     if n < 4:
         return float("nan")
-
-    def centred(v: np.ndarray, means: np.ndarray, at: slice) -> np.ndarray:
-        return np.abs(v[at, None] - v) - means[at, None] - means + means.mean()
-
-    at = [slice(k, min(n, k + block)) for k in range(0, n, block)]
-    mx, my = (np.concatenate([np.abs(v[s, None] - v).mean(axis=1) for s in at]) for v in (x, y))
-    xy = xx = yy = 0.0
-    for s in at:
-        a, b = centred(x, mx, s), centred(y, my, s)
-        xy, xx, yy = xy + (a * b).sum(), xx + (a * a).sum(), yy + (b * b).sum()
+    if x.min() == x.max() or y.min() == y.max():
+        return 0.0
+    if n <= block:
+        centred = lambda v: (a := np.abs(v[:, None] - v)) - (m := a.mean(axis=1))[:, None] - m + m.mean()
+        a, b = centred(x), centred(y)
+        xy, xx, yy = (a * b).sum(), (a * a).sum(), (b * b).sum()
+    else:
+        x, y = ((v - np.median(v)) / (v.max() - v.min()) for v in (x, y))
+        mx, my = mean_distances(x), mean_distances(y)
+        squares = lambda v: 2 * (n * (v @ v) - v.sum() ** 2)
+        rest = lambda p, q: -2 * n * (p @ q) + n * n * p.mean() * q.mean()
+        xy, xx, yy = distance_products(x, y) + rest(mx, my), squares(x) + rest(mx, mx), squares(y) + rest(my, my)
     return float(np.sqrt(max(0.0, xy)) / np.sqrt(np.sqrt(xx * yy))) if xx > 0 and yy > 0 else 0.0
 
 

@@ -1,6 +1,7 @@
 """Risk model, optimisers, flows, costs, dependence measures, audits and transcripts."""
 
 import json
+import time
 
 import numpy as np
 import pytest
@@ -108,6 +109,18 @@ def test_distance_correlation(spark):
     assert [r.date for r in got] == [1] and 0 <= got[0].dcor <= 1
 
 
+def test_distance_correlation_of_many_points():
+    rng = np.random.default_rng(2)
+    for n, places in ((70, 9), (70, 0), (601, 1), (1000, 9)):
+        x = np.round(rng.normal(size=n), places) + 1e6  # ties, far from zero
+        y = np.round(0.3 * x + rng.normal(size=n), places)
+        assert flows.dcor(x, y, 16) == pytest.approx(flows.dcor(x, y, n), abs=1e-9)
+    x, y = rng.normal(size=60_000), rng.normal(size=60_000)
+    began = time.time()
+    assert 0 < flows.dcor(x, y) < 0.03 and time.time() - began < 10
+    assert flows.dcor(x, np.full(60_000, 0.1)) == 0
+
+
 def test_transcripts(spark):
     vtt = "WEBVTT\n\n00:00:00.080 --> 00:00:03.200 align:start position:0%\n<c.colorE5E5E5>Hello</c> world\n\n00:00:04.000 --> 00:00:05.800\nAgain\n"
     timed = json.dumps({"events": [{"tStartMs": 80, "dDurationMs": 3120, "segs": [{"utf8": "hello\nworld"}]}, {"tStartMs": 4000, "dDurationMs": 1800, "segs": [{"utf8": "again"}]}, {"tStartMs": 9}]})
